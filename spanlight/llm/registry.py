@@ -5,11 +5,13 @@ from __future__ import annotations
 from spanlight.llm.bpe import op2_bpe
 from spanlight.llm.packing import op1_pack
 from spanlight.llm.simhash import op9_simhash
+from spanlight.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_bpe": op2_bpe,
     "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {}
