@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from spanlight.llm.bpe import op2_bpe
+from spanlight.llm.embedding_join import op3_embeddings
 from spanlight.llm.packing import op1_pack
 from spanlight.llm.simhash import op9_simhash
 from spanlight.llm.toxicity import op10_toxicity
@@ -10,6 +11,7 @@ from spanlight.llm.toxicity import op10_toxicity
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_bpe": op2_bpe,
+    "op3_embeddings": op3_embeddings,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
