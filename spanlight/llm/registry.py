@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from spanlight.llm.bpe import op2_bpe
 from spanlight.llm.embedding_join import op3_embeddings
+from spanlight.llm.fingerprints import op5_fingerprints
+from spanlight.llm.language_id import op4_language
 from spanlight.llm.packing import op1_pack
 from spanlight.llm.simhash import op9_simhash
 from spanlight.llm.toxicity import op10_toxicity
@@ -12,6 +14,8 @@ QUERIES = {
     "op1_pack": op1_pack,
     "op2_bpe": op2_bpe,
     "op3_embeddings": op3_embeddings,
+    "op4_language": op4_language,
+    "op5_fingerprints": op5_fingerprints,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
