@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from spanlight.llm.bpe import op2_bpe
+from spanlight.llm.chat import ORACLE_OP7, op7_chat
 from spanlight.llm.embedding_join import op3_embeddings
 from spanlight.llm.fingerprints import op5_fingerprints
 from spanlight.llm.language_id import op4_language
@@ -16,8 +17,9 @@ QUERIES = {
     "op3_embeddings": op3_embeddings,
     "op4_language": op4_language,
     "op5_fingerprints": op5_fingerprints,
+    "op7_chat": op7_chat,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_chat": ORACLE_OP7}
