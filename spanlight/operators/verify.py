@@ -70,7 +70,16 @@ def located(quoted: DataFrame, items: DataFrame) -> DataFrame:
 
     Equal up to per-character NFKC, casefolding and white space; offsets are the document's.
     """
-    met = quoted.join(items.select("package_id", "item_id", "document_id", "text", F.col("start").alias("item_start")), "package_id")
+    asked = quoted.withColumn("q_form", C.search_form(F.col("quotation"))).where("q_form <> ''")
+    tokens = F.split("q_form", " ")
+    # Tokens between the first and the last are whole tokens of any text that holds the quotation.
+    inner = F.transform(F.slice(tokens, 2, F.greatest(F.lit(0), F.size(tokens) - 2)), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))
+    asked = asked.withColumn("token", F.array_max(inner)["t"])
+    held = items.select("package_id", "item_id", "document_id", "text", F.col("start").alias("item_start"), C.search_form(F.col("text")).alias("form"))
+    words = held.select("package_id", "item_id", F.explode(F.array_distinct(F.split("form", " "))).alias("token"))
+    near = asked.where("token is not null").join(words, ["package_id", "token"]).drop("token").join(held, ["package_id", "item_id"])
+    rest = asked.where("token is null").drop("token").join(held, "package_id")
+    met = near.unionByName(rest).where(F.contains(F.col("form"), F.col("q_form"))).drop("form", "q_form")
     likely = met.withColumn("spans", C.quotation_spans(F.col("quotation"), F.col("text"))).where(F.size("spans") > 0)
     each = likely.select("*", F.explode("spans").alias("s"))
     return each.select("package_id", "claim_no", "quote_no", "item_id", "document_id", (F.col("item_start") + F.col("s.start")).alias("start"), (F.col("item_start") + F.col("s.end")).alias("end"))
