@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spanlight.llm.common import materialize, table
+from spanlight.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 SEQUENCE_TOKENS = 4096
@@ -27,6 +27,8 @@ END_ID = 2
 #: Hashed dimensions of a document vector; dimensions of the curve and bits of each.
 HASHED, CURVE_DIMS, CURVE_BITS = 512, 4, 8
 CACHE_WORDS = 1_000_000
+#: Characters of a range of the curve, one task's share; most ranges; sampled documents for each range's bounds.
+RANGE_CHARS, MOST_RANGES, SAMPLE_ROWS = 16_000_000, 50_000, 40
 
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 _MARKS = frozenset(b",.!;:?%*$&#")
@@ -131,8 +133,15 @@ def hilbert_key(cells: np.ndarray, bits: int = CURVE_BITS) -> np.ndarray:
     return key
 
 
-def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = WORD_BPE, end_id: int = END_ID) -> DataFrame:
-    """(id_col, hkey long, ids binary): packed little-endian 16-bit ids with end_id last, and the curve position."""
+def curve_key(cells: np.ndarray, doc_ids: list[int | None]) -> np.ndarray:
+    """Curve positions in the upper bits, hashed ids below: copies share a position and still are dealt out evenly."""
+    low = np.array([zlib.crc32(str(i).encode()) >> 9 for i in doc_ids], np.int64)
+    return (hilbert_key(cells) << 23) | low
+
+
+def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = WORD_BPE, end_id: int = END_ID, cuts: list[int] | None = None) -> DataFrame:
+    """(id_col, hkey long, part int, ids binary): packed little-endian 16-bit ids with end_id last, the key along the curve, and between which cuts it lies."""
+    bounds = np.array(cuts or [], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, end = words(path), np.array([end_id], np.uint16).tobytes()
@@ -141,9 +150,28 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
                 part = b.slice(at, 512)
                 ids = [w.encode(t.as_py() or "") + end for t in part.column(1)]
                 cells = np.array([curve_point(np.frombuffer(x, np.uint16)) for x in ids]).reshape(-1, CURVE_DIMS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hilbert_key(cells)), pa.array(ids, pa.binary())], names=[id_col, "hkey", "ids"])
+                key = curve_key(cells, part.column(0).to_pylist())
+                where = np.searchsorted(bounds, key, side="right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key), pa.array(where), pa.array(ids, pa.binary())], names=[id_col, "hkey", "part", "ids"])
+
+    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, f"`{id_col}` bigint, hkey bigint, part int, ids binary")
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, f"`{id_col}` bigint, hkey bigint, ids binary")
+
+def range_cuts(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int) -> list[int]:
+    """Keys that cut the curve into ranges of about RANGE_CHARS characters, by the quantiles of a sample.
+
+    The sample decides how even the ranges are, nothing else: every document is dealt to the range
+    of its own key. It holds some SAMPLE_ROWS documents for each range, those of least id hash.
+    """
+    n_docs, chars = docs.agg(F.count("*"), F.sum(F.length(text_col).cast("bigint"))).first()
+    ranges = min(-(-(chars or 0) // RANGE_CHARS), MOST_RANGES)
+    if ranges < 2:
+        return []
+    share = min(1.0, SAMPLE_ROWS * ranges / n_docs)
+    some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else docs
+    keys = tokenize(some, id_col, text_col, path, end_id).select("hkey")
+    at = keys.agg(F.percentile_approx("hkey", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
+    return sorted(set(at or []))
 
 
 def _tail(n: int, tokens: int) -> list[int]:
@@ -158,7 +186,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     (null and empty texts: end_id alone). Sequences hold exactly `tokens` ids except the last of
     each range, whose rest is cut into sequences of power-of-two length, so no id of padding is
     needed. Sequence ids are unique, not dense: the range's number in the upper bits. Ties on the
-    curve are sorted by id. Extra columns of docs are ignored.
+    curve are sorted by hashed id. Extra columns of docs are ignored.
     """
     schema = f"`{id_col}` bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + (", ids array<int>" if keep_ids else "")
 
@@ -206,9 +234,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         if out:
             yield batch()
 
-    each = materialize(tokenize(docs, id_col, text_col, path, end_id), "tokens")
-    # Equal curve positions (a third of all documents may be copies) are dealt out by id.
-    along = each.repartitionByRange("hkey", id_col).sortWithinPartitions("hkey", id_col)
+    cuts = range_cuts(docs, id_col, text_col, path, end_id)
+    each = tokenize(docs, id_col, text_col, path, end_id, cuts)
+    along = each.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("hkey", id_col)
     return along.select(id_col, "ids").mapInArrow(run, schema)
 
 
