@@ -114,7 +114,11 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     near = materialize(_nearby(docs, text_col), "near")
     together = near.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= LEAST_TEXTS)
-    candidates = materialize(together, "together")
+    # A term is in at least as many texts as it is near any entity in, which bounds its probability from
+    # above: words that are found near many entities go before the corpus is searched for the rest.
+    around = near.select("term", "key").distinct().groupBy("term").agg(F.count("*").alias("around"))
+    possible = together.join(around, "term").where(F.col("together") >= LEAST_PROBABILITY * F.col("around")).drop("around")
+    candidates = materialize(possible, "together")
     terms = candidates.select("term").distinct()
     has = docs.select(text_key(F.col(text_col)).alias("key"), F.explode(_all_words(F.col(text_col))).alias("term")).join(terms, "term", "left_semi").distinct()
     texts = has.groupBy("term").agg(F.count("*").alias("texts"))
