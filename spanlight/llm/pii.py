@@ -145,7 +145,7 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     if terms.isEmpty():
         return out.withColumn("pii", F.concat("__base", none)).drop("__base")
     hits = docs.select(text_key(F.col(text_col)).alias("__key"), F.explode(_all_words(F.col(text_col))).alias("term")).join(terms, "term", "left_semi")
-    hits = hits.distinct().groupBy("__key").agg(F.array_sort(F.collect_list("term")).alias("__terms"))
+    hits = materialize(hits.distinct().groupBy("__key").agg(F.array_sort(F.collect_list("term")).alias("__terms")), "hits")
     found = out.withColumn("__key", text_key(F.col(text_col))).join(hits, "__key", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("__terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     spans = F.when(F.col("__terms").isNull(), none).otherwise(_located(F.coalesce(F.col(text_col), F.lit("")), F.coalesce(pattern, F.lit("(?!)")), "term"))
