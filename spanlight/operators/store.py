@@ -49,7 +49,8 @@ def get(versions: DataFrame, wanted: DataFrame) -> DataFrame:
     """Documents of wanted(document_id, version): that version, the current one where version is null."""
     exact = versions.join(wanted.where("version is not null").distinct(), ["document_id", "version"], "left_semi")
     newest = current(versions).join(wanted.where("version is null").select("document_id").distinct(), "document_id", "left_semi")
-    return exact.unionByName(newest.select(exact.columns)).distinct()
+    more = newest.join(exact.select("document_id", "version"), ["document_id", "version"], "left_anti")
+    return exact.unionByName(more.select(exact.columns))
 
 
 def history(versions: DataFrame) -> DataFrame:

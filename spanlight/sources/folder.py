@@ -61,11 +61,28 @@ class IgnoreRules:
         return found
 
 
+def _hidden(spark: SparkSession, root: str) -> list[str]:
+    """Paths below root with a name, or a folder's name, that Spark's listing leaves out; SKIPPED_FOLDERS aside."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base, out, todo = fs.makeQualified(path).toString().rstrip("/"), [], [path]
+    while todo:
+        for status in fs.listStatus(todo.pop()):
+            p = status.getPath()
+            if status.isDirectory():
+                if p.getName() not in SKIPPED_FOLDERS:
+                    todo.append(p)
+            elif any(n.startswith((".", "_")) for n in p.toString()[len(base) + 1 :].split("/")):
+                out.append(p.toString()[len(base) + 1 :])
+    return out
+
+
 def walk(spark: SparkSession, root: str, rules: IgnoreRules = IgnoreRules()) -> tuple[DataFrame, DataFrame]:
     """(files, skipped): (source_path, length, bytes) of what is taken, and (source_path, reason, rule) of what isn't.
 
-    Listed and read by Spark, so the folder may be in any store. Links aren't followed by the store's
-    listing; files below SKIPPED_FOLDERS aren't reported.
+    Listed and read by Spark, so the folder may be in any store. Spark's readers pass over names that
+    start with a dot or underscore; such files are reported as skipped. Files below SKIPPED_FOLDERS
+    aren't reported.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
@@ -82,7 +99,11 @@ def walk(spark: SparkSession, root: str, rules: IgnoreRules = IgnoreRules()) ->
     rule = F.when(is_credential(name), name).otherwise(ignored("source_path") if rules.rules else F.lit(None).cast("string"))
     reason = F.when(is_credential(name), "looks like a store of credentials").when(F.col("rule").isNotNull(), "excluded by an ignore rule")
     judged = listed.where(~F.col("source_path").rlike(hidden)).withColumn("rule", rule).withColumn("reason", reason)
-    return judged.where("reason is null").select("source_path", "length", "bytes"), judged.where("reason is not null").select("source_path", "reason", "rule")
+    dotted = spark.createDataFrame([(p, p.rsplit("/", 1)[-1]) for p in _hidden(spark, root)], "source_path string, name string")
+    secret = is_credential(F.col("name"))
+    hidden_ones = dotted.select("source_path", F.when(secret, "looks like a store of credentials").otherwise("hidden").alias("reason"), F.when(secret, F.col("name")).alias("rule"))
+    skipped = judged.where("reason is not null").select("source_path", "reason", "rule").unionByName(hidden_ones)
+    return judged.where("reason is null").select("source_path", "length", "bytes"), skipped
 
 
 def read_text(raw: bytes) -> str:
