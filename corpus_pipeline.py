@@ -30,7 +30,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows repeated with id and text count once; documents without an id can't be named, and stay.
     """
     found = materialize(simhash.near_duplicates(docs), "copies")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")  # a small table is known to be one
     kept = docs.join(gone, "doc_id", "left_anti")
     again = materialize(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if again.isEmpty():
