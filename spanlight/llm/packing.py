@@ -7,7 +7,10 @@ are alike, and laid end to end within each range; sequences are cut from that st
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,21 +30,33 @@ END_ID = 2
 #: Hashed dimensions of a document vector; dimensions of the curve and bits of each.
 HASHED, CURVE_DIMS, CURVE_BITS = 512, 4, 8
 CACHE_WORDS = 1_000_000
-#: Characters of a range of the curve, one task's share; most ranges; sampled documents for each range's bounds.
-RANGE_CHARS, MOST_RANGES, SAMPLE_ROWS = 16_000_000, 50_000, 40
+#: Bytes of packed ids in a range of the curve, one task's share; most ranges; sampled documents for their bounds.
+RANGE_BYTES, MOST_RANGES, SAMPLE_DOCS = 10_000_000, 20_000, 4000
 
-_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
-_MARKS = frozenset(b",.!;:?%*$&#")
+#: Latin letters that lower-casing maps one to one, then marks: NFC leaves both alone and the tokenizer splits between them.
+_WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([,.!;:?%*$&#]*)")
+
+
+def _byte_characters() -> dict[int, int]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: b if b in shown else next(rest) for b in range(256)}
+
+
+_BYTES = _byte_characters()
 
 
 class Words:
     """Ids of white-space separated words by the given tokenizer, cached by word.
 
-    Exact for tokenizers that drop white space and let no token cross it. Words of lower-case
-    ASCII letters go straight to the tokenizer's model, all others through the whole tokenizer.
+    Exact for byte-level tokenizers that drop white space, let no token cross it, and lower-case.
+    Words of lower-case Latin letters go straight to the tokenizer's model, all others through the
+    whole tokenizer.
     """
 
     def __init__(self, path: str = WORD_BPE) -> None:
+        assert sys.byteorder == "little"  # packed ids are little-endian
         self._tok = Tokenizer.from_file(path)
         self._tok.no_padding()
         self._tok.no_truncation()
@@ -50,13 +65,15 @@ class Words:
         self._old: dict[bytes, bytes] = {}
 
     def _make(self, w: bytes) -> bytes:
-        if len(w) <= 48 and w.isascii():
-            if _LETTERS.issuperset(w):
-                return np.array([t.id for t in self._model.tokenize(w.decode())], np.uint16).tobytes()
-            if w[-1] in _MARKS and w[-2:-1].isalpha():  # the tokenizer splits between letter and mark
-                return self._cached(w[:-1]) + self._cached(w[-1:])
-            if b"<|" not in w and (low := w.lower()) != w:
-                return self._cached(low)
+        if len(w) <= 48 and (m := _WORD.fullmatch(w)):
+            word, marks = m.groups()
+            if marks:
+                return self._cached(word) + self._cached(marks)
+            text = word.decode()
+            low = text.lower()
+            if low != text:
+                return self._cached(low.encode())
+            return array("H", [t.id for t in self._model.tokenize(word.decode("latin-1").translate(_BYTES))]).tobytes()
         return np.array(self._tok.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint16).tobytes()
 
     def _cached(self, w: bytes) -> bytes:
@@ -158,20 +175,21 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
 
 def range_cuts(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int) -> list[int]:
-    """Keys that cut the curve into ranges of about RANGE_CHARS characters, by the quantiles of a sample.
+    """Keys that cut the curve into ranges of about RANGE_BYTES of ids, by the quantiles of a sample.
 
-    The sample decides how even the ranges are, nothing else: every document is dealt to the range
-    of its own key. It holds some SAMPLE_ROWS documents for each range, those of least id hash.
+    The sample decides how many and how even the ranges are, nothing else: every document is dealt
+    to the range of its own key. It holds some SAMPLE_DOCS documents, those of least id hash, and the
+    driver gets two numbers of each.
     """
-    n_docs, chars = docs.agg(F.count("*"), F.sum(F.length(text_col).cast("bigint"))).first()
-    ranges = min(-(-(chars or 0) // RANGE_CHARS), MOST_RANGES)
-    if ranges < 2:
-        return []
-    share = min(1.0, SAMPLE_ROWS * ranges / n_docs)
-    some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else docs
-    keys = tokenize(some, id_col, text_col, path, end_id).select("hkey")
-    at = keys.agg(F.percentile_approx("hkey", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
-    return sorted(set(at or []))
+    n = docs.count()
+    share = min(1.0, SAMPLE_DOCS / n) if n else 1.0
+    some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else docs
+    sized = tokenize(some, id_col, text_col, path, end_id).select("hkey", F.length("ids").alias("n"))
+    rows = sized.orderBy(F.xxhash64("hkey")).limit(2 * SAMPLE_DOCS).collect()  # about SAMPLE_DOCS, unless an id is repeated
+    total = sum(r.n for r in rows) / max(1, len(rows)) * n
+    ranges = min(int(total // RANGE_BYTES) + 1, MOST_RANGES)
+    keys = np.sort([r.hkey for r in rows])
+    return sorted({int(k) for k in keys[[len(keys) * i // ranges for i in range(1, ranges)]]}) if ranges > 1 else []
 
 
 def _tail(n: int, tokens: int) -> list[int]:
