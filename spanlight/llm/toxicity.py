@@ -83,7 +83,8 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     chosen = Counter()
     for w, n in bad.items():
         b = f" {w} ".encode()
-        if n > 1 and any(b[i : i + GRAM] in telling for i in range(len(b) - GRAM + 1)):
+        rare = n / n_bad >= LEAST_RATIO * (good.get(w, 0) + 0.5) / n_good  # ordinary words share strings with telling ones
+        if n > 1 and rare and any(b[i : i + GRAM] in telling for i in range(len(b) - GRAM + 1)):
             chosen[w] = n
     model = Model(_dictionary(good), _dictionary(chosen))
     scorer = Scorer(model)
@@ -152,10 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return train(*sample(docs, labels))
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of docs and toxicity_score (0 to 1; null and empty texts score as texts without any window)."""
-    if "toxicity_score" in docs.columns:
-        raise ValueError("docs has a column toxicity_score already")
+def scored(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "toxicity_score") -> DataFrame:
+    """All columns of docs and out_col (0 to 1; null and empty texts score as texts without any window), which replaces a column of that name."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -165,7 +164,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for texts in batches:
             yield texts.map(lambda t: _scorers[model].score(t or ""))
 
-    return docs.withColumn("toxicity_score", score(F.col(text_col)))
+    return docs.withColumn(out_col, score(F.col(text_col)))
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
