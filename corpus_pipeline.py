@@ -8,20 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlight.llm import language_id, packing, pii, simhash, toxicity
-from spanlight.llm.common import materialize, table
+from spanlight.llm.common import all_of, materialize, table, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letter, or too unlike every learnt profile."""
-    out = language_id.identified(docs, language_id.fit(docs))
-    sure = (F.col("language.lang") != language_id.UNKNOWN) & (F.col("language.score") >= language_id.LEAST_SHARE) & (F.col("language.cosine") >= language_id.LEAST_COSINE)
-    return out.where(sure).select(docs.columns)
+    name = unused(docs, "language")
+    out = language_id.identified(docs, language_id.fit(docs), out_col=name)
+    told = F.col(name)
+    sure = (told["lang"] != language_id.UNKNOWN) & (told["score"] >= language_id.LEAST_SHARE) & (told["cosine"] >= language_id.LEAST_COSINE)
+    return out.where(sure).select(all_of(out, docs.columns))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity score is 0.5 or more."""
-    out = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return out.where("toxicity_score < 0.5").select(docs.columns)
+    name = unused(docs, "toxicity_score")
+    out = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), out_col=name)
+    return out.where(F.col(name) < 0.5).select(all_of(out, docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +37,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = docs.join(gone, "doc_id", "left_anti")
     again = materialize(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if again.isEmpty():
-        return kept.select(docs.columns)
+        return kept.select(all_of(kept, docs.columns))
     once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
+    single = kept.join(again, "doc_id", "left_anti")
+    return single.select(all_of(single, docs.columns)).union(once.select(all_of(once, docs.columns)))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data, and terms that disclose it, by their kind."""
     out = pii.sanitise(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

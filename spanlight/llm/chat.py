@@ -101,21 +101,19 @@ MAPPINGS = (
 )
 
 
-def canonical_turns(records: DataFrame, json_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """All columns of records, and chat struct<layout, fingerprint, turns> read from the JSON of json_col.
+def canonical_turns(records: DataFrame, json_col: str, out_col: str = "chat", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """All columns of records, and out_col struct<layout, fingerprint, turns> read from the JSON of json_col.
 
     layout and turns are null where no mapping has the record's fingerprint, or the text isn't JSON
-    (fingerprint null too); null texts within a layout are empty turns. A column named chat is refused.
+    (fingerprint null too); null texts within a layout are empty turns. A column named as out_col is replaced.
     """
-    if "chat" in records.columns:
-        raise ValueError("records has a column chat already")
     record = F.try_parse_json(F.col(json_col))
     print_ = record_fingerprint(record)
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for m in reversed(mappings):
         here = print_ == m.fingerprint
         layout, turns = F.when(here, m.name).otherwise(layout), F.when(here, m.apply(record)).otherwise(turns)
-    return records.withColumn("chat", F.struct(layout.alias("layout"), print_.alias("fingerprint"), turns.alias("turns")))
+    return records.withColumn(out_col, F.struct(layout.alias("layout"), print_.alias("fingerprint"), turns.alias("turns")))
 
 
 #: Tables with one row for each turn, by the hash of their columns: conversation, order, role, text.

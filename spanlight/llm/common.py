@@ -69,6 +69,19 @@ def _clean() -> None:
             pass
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def all_of(df: DataFrame, names: list[str] | None = None) -> list[Column]:
+    """Columns by name, whatever characters the names hold."""
+    return [df[f"`{c}`"] for c in (df.columns if names is None else names)]
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of documents that no model may learn from (a null id counts as held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))

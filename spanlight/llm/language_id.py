@@ -141,22 +141,19 @@ def predict(text: str | None, langs: tuple[str, ...], prototypes: np.ndarray) ->
     return langs[best], share, max(0.0, float(cos[best]))
 
 
-def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of docs and language struct<lang, score, cosine>.
+def identified(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "language") -> DataFrame:
+    """All columns of docs and out_col struct<lang, score, cosine>, which replaces a column of that name.
 
     lang is `und`, score and cosine 0, for null texts and those without any letter; ties go to the
     first language in alphabetical order.
     """
-    if "language" in docs.columns:
-        raise ValueError("docs has a column language already")
-
     @F.pandas_udf("lang string, score double, cosine double")
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         prototypes = np.array([np.frombuffer(p, np.float32) for p in model.prototypes]).reshape(-1, DIMS)
         for texts in batches:
             yield pd.DataFrame([predict(t, model.langs, prototypes) for t in texts], columns=["lang", "score", "cosine"])
 
-    return docs.withColumn("language", guess(F.col(text_col)))
+    return docs.withColumn(out_col, guess(F.col(text_col)))
 
 
 def op4_language(spark, sf_dir: str) -> DataFrame:

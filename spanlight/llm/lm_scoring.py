@@ -58,15 +58,12 @@ def compressed_size(data: bytes, dictionary_: bytes) -> int:
     return sum(len(c.compress(data[i : i + WINDOW])) for i in range(0, len(data), WINDOW))
 
 
-def scored(docs: DataFrame, general: bytes, domain: bytes, text_col: str = "text") -> DataFrame:
-    """All columns of docs and lm struct<n_bytes, general_bytes, domain_bytes, score>.
+def scored(docs: DataFrame, general: bytes, domain: bytes, text_col: str = "text", out_col: str = "lm") -> DataFrame:
+    """All columns of docs and out_col struct<n_bytes, general_bytes, domain_bytes, score>.
 
     score = (general - domain) / larger of both, above 0 for texts nearer to the domain; 0 for null
-    and empty texts. The whole lower-cased text counts. A column named lm is refused.
+    and empty texts. The whole lower-cased text counts. A column named as out_col is replaced.
     """
-    if "lm" in docs.columns:
-        raise ValueError("docs has a column lm already")
-
     @F.pandas_udf("n_bytes bigint, general_bytes bigint, domain_bytes bigint, score double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -77,7 +74,7 @@ def scored(docs: DataFrame, general: bytes, domain: bytes, text_col: str = "text
                 rows.append((len(b), g, d, (g - d) / max(g, d, 1)))
             yield pd.DataFrame(rows, columns=["n_bytes", "general_bytes", "domain_bytes", "score"])
 
-    return docs.withColumn("lm", score(F.col(text_col)))
+    return docs.withColumn(out_col, score(F.col(text_col)))
 
 
 def in_domain(docs: DataFrame, labels: DataFrame, most: int = DOMAIN_DOCS) -> DataFrame:

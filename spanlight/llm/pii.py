@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlight.llm.common import materialize, table
+from spanlight.llm.common import all_of, materialize, table, unused
 
 #: Kinds in the order of results. The patterns match what a scan from the left for the plain
 #: patterns would: a match can only start where a run of its first class starts or the last match
@@ -131,26 +131,28 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return scored.where((F.col("probability") >= LEAST_PROBABILITY) & (F.col("bits") >= LEAST_BITS)).select("term", "entity", "together", "texts", "probability", "bits")
 
 
-def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of docs and pii: base spans by kind and start, then spans of kind `term`.
+def with_spans(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> DataFrame:
+    """All columns of docs and out_col (replaced if there): base spans by kind and start, then spans of kind `term`.
 
     Terms are found as whole words in any case, in every text, and dropped where they touch a base
-    span. Null texts count as empty. A column named pii is refused.
+    span. Null texts count as empty. Rows stay rows, repeated ones included.
     """
-    if "pii" in docs.columns:
-        raise ValueError("docs has a column pii already")
-    terms = materialize(disclosing_terms(docs, text_col).select("term").distinct(), "terms")
-    out = docs.withColumn("__base", base_spans(F.col(text_col)))
+    base, key, wanted = (unused(docs, n) for n in ("base_spans__", "text_key__", "text_terms__"))
+    text = docs[f"`{text_col}`"]
+    kept = all_of(docs, [c for c in docs.columns if c.lower() != out_col.lower()])
+    terms = materialize(disclosing_terms(docs.select(text.alias("text")), "text").select("term").distinct(), "terms")
     none = F.array().cast(SPANS)
+    out = docs.select(*kept, base_spans(text).alias(base), text_key(text).alias(key))
     if terms.isEmpty():
-        return out.withColumn("pii", F.concat("__base", none)).drop("__base")
-    hits = docs.select(text_key(F.col(text_col)).alias("__key"), F.explode(_all_words(F.col(text_col))).alias("term")).join(terms, "term", "left_semi")
-    hits = materialize(hits.distinct().groupBy("__key").agg(F.array_sort(F.collect_list("term")).alias("__terms")), "hits")
-    found = out.withColumn("__key", text_key(F.col(text_col))).join(hits, "__key", "left")
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("__terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    spans = F.when(F.col("__terms").isNull(), none).otherwise(_located(F.coalesce(F.col(text_col), F.lit("")), F.coalesce(pattern, F.lit("(?!)")), "term"))
-    apart = F.filter(spans, lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return found.withColumn("pii", F.concat("__base", apart)).drop("__base", "__key", "__terms")
+        return out.withColumn(out_col, F.concat(base, none)).drop(base, key)
+    words = docs.select(text_key(text).alias(key), F.explode(_all_words(text)).alias("term")).join(terms, "term", "left_semi")
+    hits = materialize(words.distinct().groupBy(key).agg(F.array_sort(F.collect_list("term")).alias(wanted)), "hits")
+    found = out.join(hits, key, "left")
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(wanted, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    spans = F.when(F.col(wanted).isNull(), none).otherwise(_located(body, F.coalesce(pattern, F.lit("(?!)")), "term"))
+    apart = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return found.withColumn(out_col, F.concat(base, apart)).drop(base, key, wanted)
 
 
 def sanitised(text: Column, spans: Column) -> Column:
@@ -167,9 +169,11 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the same columns, its text sanitised; texts without spans (and null) stay as they are."""
-    out = with_spans(docs, text_col)
-    new = F.when(F.size("pii") == 0, F.col(text_col)).otherwise(sanitised(F.col(text_col), F.col("pii")))
-    return out.withColumn(text_col, new).select(docs.columns)
+    spans = unused(docs, "pii_spans__")
+    out = with_spans(docs, text_col, spans)
+    text = F.col(f"`{text_col}`")
+    new = F.when(F.size(spans) == 0, text).otherwise(sanitised(text, F.col(spans)))
+    return out.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def listed(spans: Column) -> Column:
