@@ -119,8 +119,11 @@ class Index:
         self.postings, self.lengths = posted, lengths
 
     @classmethod
-    def built(cls, sections: DataFrame) -> Index:
+    def built(cls, sections: DataFrame, keep: bool = False) -> Index:
+        """keep holds the token streams in Spark's cache (memory, then disk) until the caller clears it: they are read for postings and for statistics."""
         tokens = token_stream(sections, cls.KEY)
+        if keep:
+            tokens = tokens.persist()
         return cls(postings(tokens, cls.KEY), tokens.select(*cls.KEY, F.size("tokens").alias("n_tokens")))
 
     def saved(self, path: str) -> None:

@@ -175,7 +175,7 @@ _TOKENS = "tok AS (SELECT document_id, generate_subscripts(list, 1) - 1 AS pos,
 
 def _index(spark, sf_dir) -> index.Index:
     docs = _corpus(spark, sf_dir)
-    return index.Index.built(docs.select("document_id", "version", F.lit(0).alias("start"), F.length("content").alias("end"), "content"))
+    return index.Index.built(docs.select("document_id", "version", F.lit(0).alias("start"), F.length("content").alias("end"), "content"), keep=True)
 
 
 @_query(_TOKENS + "x AS (SELECT 1) SELECT token, count(DISTINCT document_id) AS df, count(*) AS tf FROM tok GROUP BY token")
