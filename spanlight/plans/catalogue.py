@@ -610,3 +610,54 @@ def search_coverage(spark, sf_dir):
     """search() as a caller uses it, with coverage matches, widened text and unconfirmed results."""
     results, _ = retrieve.search(_questions(spark, sf_dir), _corpus(spark, sf_dir), _index(spark, sf_dir), settings=Confirmation())
     return results.select("query_id", "document_id", "rank", "start", "end", "unconfirmed", "matched", F.sha2("text", 256).alias("text_sha256"))
+
+
+@_query("""k AS (SELECT lang, length(content) AS n, length(content) - length(regexp_replace(content, '\\p{Nd}', '', 'g')) AS digit, length(content) - length(regexp_replace(content, '[\\s\\x{A0}\\x{3000}]', '', 'g')) AS space,
+  length(content) - length(regexp_replace(content, '[A-Za-z\\x{AA}\\x{B5}\\x{BA}\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}]', '', 'g')) AS latin FROM corpus)
+SELECT lang, sum(latin)::BIGINT AS latin, sum(digit)::BIGINT AS digit, sum(space)::BIGINT AS space, sum(n - latin - digit - space)::BIGINT AS other FROM k GROUP BY lang""")
+def script_histogram(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("lang", C.script_counts(F.coalesce("text", F.lit(""))).alias("s"))
+    return docs.groupBy("lang").agg(*[F.sum(F.col(f"s.{k}").cast("bigint")).alias(k) for k in ("latin", "digit", "space", "other")])
+
+
+@_query("""x AS (SELECT 1) SELECT CASE WHEN doc_id % 3 = 0 THEN source || '/' || doc_id WHEN doc_id % 3 = 1 THEN 'id-' || doc_id ELSE 'document-' || lpad(doc_id::VARCHAR, greatest(4, length(doc_id::VARCHAR))::INT, '0') END AS source_path, sha256(content) AS content_sha256 FROM corpus""")
+def framework_documents(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").withColumn("m", F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("file_path"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")))).otherwise(F.create_map(F.lit("source"), F.lit(""))))
+    id_ = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("id-"), F.col("doc_id").cast("string"))).otherwise(F.lit(""))
+    out = adapters.framework_texts(docs, F.coalesce("text", F.lit("")), F.col("m"), id_, F.col("doc_id"))
+    return out.select("source_path", F.sha2("content", 256).alias("content_sha256"))
+
+
+@_query("""p AS (SELECT conv_id, '2026-01-' || lpad((conv_id % 28 + 1)::VARCHAR, 2, '0') AS created_at, count(*) FILTER (role <> 'system') AS items, count(*) FILTER (role = 'system') AS omissions, coalesce(sum(length(coalesce(text, ''))) FILTER (role <> 'system'), 0) AS estimate FROM conversations GROUP BY conv_id)
+SELECT conv_id::VARCHAR AS package_id, created_at, 'sha256:' || sha256('q') AS query_hash, items::INT AS items, omissions::INT AS omissions, estimate::INT AS estimate FROM p WHERE created_at >= '2026-01-20' ORDER BY created_at DESC, conv_id::VARCHAR LIMIT 100""")
+def ledger_entries(spark, sf_dir):
+    """The newest hundred entries since a date; the limit is the feature."""
+    entries, _, _ = ledger.opened(_ledger(spark, sf_dir)[0])
+    return ledger.entries_since(entries, "2026-01-20", 100).select("package_id", "created_at", "query_hash", "items", "omissions", "estimate")
+
+
+@_query("""x AS (SELECT document_id, doc_id % 2 = 0 AS unconfirmed, CASE doc_id % 3 WHEN 0 THEN 'unresolvable' WHEN 1 THEN 'stale' ELSE 'resolved' END AS status, doc_id % 5 <> 0 AS fresh FROM corpus)
+SELECT document_id, CASE WHEN unconfirmed THEN 'below_threshold' WHEN status = 'unresolvable' OR NOT fresh OR status = 'stale' THEN 'stale_anchor' END AS rule FROM x""")
+def disqualification(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(C.document_id(_path()).alias("document_id"), "doc_id")
+    status = F.when(F.col("doc_id") % 3 == 0, "unresolvable").when(F.col("doc_id") % 3 == 1, "stale").otherwise("resolved")
+    return docs.select("document_id", select.disqualification(F.col("doc_id") % 2 == 0, status, F.col("doc_id") % 5 != 0)["rule"].alias("rule"))
+
+
+@_query(_INCOMING + """a AS (SELECT document_id, version, content, length(content) // 2 AS s FROM corpus),
+now AS (SELECT d.document_id, d.version FROM delivered d JOIN corpus c USING (document_id) WHERE d.version <> c.version)
+SELECT a.document_id, 'resolved' AS status, (length(left(content, s)) - length(replace(left(content, s), chr(10), '')) + 1)::INT AS line, n.version AS current_version FROM a LEFT JOIN now n USING (document_id)""")
+def trace_anchor(spark, sf_dir):
+    versions = store.put(_corpus(spark, sf_dir), _incoming(spark, sf_dir))
+    s = F.floor(F.length("content") / 2).cast("int")
+    a = anchors.anchored(_corpus(spark, sf_dir), s, F.length("content")).select("document_id", "version", "start", "end", "text_hash")
+    return anchors.trace(a, versions).select("document_id", "status", "line", "current_version")
+
+
+@_query("""x AS (SELECT q.query_id, CASE WHEN i % 2 = 0 THEN 'heading' ELSE '' END AS section, i % 3 = 0 AS unconfirmed, (i * length(q.query)) // 4 AS matched, length(q.query) AS n, i FROM asked q, generate_series(0, 5) t(i))
+SELECT query_id, i::INT AS i, 'lexical_match' || CASE WHEN section <> '' THEN ',heading_match' ELSE '' END || CASE WHEN NOT unconfirmed THEN ',confirmed_in_text' ELSE '' END || CASE WHEN NOT unconfirmed AND matched > 0 THEN ',confirmed_share' ELSE '' END AS signals FROM x""")
+def signals(spark, sf_dir):
+    q = _questions(spark, sf_dir).select("query_id", "query", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
+    section = F.when(F.col("i") % 2 == 0, "heading").otherwise("")
+    made = select.signals(section, F.col("i") % 3 == 0, F.floor(F.col("i") * F.length("query") / 4).cast("int"), F.col("query"))
+    return q.select("query_id", "i", F.regexp_replace(F.array_join(made, ","), r":[0-9.]+", "").alias("signals"))
