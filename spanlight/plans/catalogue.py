@@ -50,7 +50,12 @@ WITH corpus AS (
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A table; documents in fewer parts than there are cores are dealt out, for their texts cost more than the move."""
+    out = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name == "documents" and out.rdd.getNumPartitions() < cores:
+        out = out.repartition(cores)
+    return out
 
 
 def _path() -> F.Column:
