@@ -25,6 +25,8 @@ UNKNOWN = "und"
 #: Dimensions of the vectors; symbols letters are folded to; seed of the letter vectors.
 DIMS, SYMBOLS, SEED = 512, 64, 5
 TRIGRAMS = SYMBOLS**3
+#: Languages that a task counts at a time.
+HELD_LANGS = 64
 #: Inverse temperature that turns cosines into a share; texts below this share, or this cosine, are rejected.
 SHARPNESS, LEAST_SHARE, LEAST_COSINE = 12.0, 0.3, 0.05
 
@@ -102,20 +104,26 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     schema = "lang string, vec array<double>"
 
+    def bundled(counts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, c in counts.items():
+            codes = np.nonzero(c)[0]
+            vec = np.zeros(DIMS)
+            for at in range(0, len(codes), 4096):
+                vec += c[codes[at : at + 4096]] @ trigram_vectors(codes[at : at + 4096]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([vec])], names=["lang", "vec"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for b in batches:
             for t, lang in zip(b.column(0), b.column(1).to_pylist()):
                 codes, n = trigrams(t.as_py())
                 if lang not in counts:
+                    if len(counts) == HELD_LANGS:  # bundles add up, so they may be sent in parts
+                        yield from bundled(counts)
+                        counts = {}
                     counts[lang] = np.zeros(TRIGRAMS, np.float64)
                 counts[lang][codes] += np.sqrt(n)
-        for lang, c in counts.items():
-            codes = np.nonzero(c)[0]
-            vec = np.zeros(DIMS)
-            for at in range(0, len(codes), 4096):
-                vec += c[codes[at : at + 4096]] @ trigram_vectors(codes[at : at + 4096]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([vec])], names=["lang", "vec"])
+        yield from bundled(counts)
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(text_col, lang_col)
     sums = rows.mapInArrow(run, schema).select("lang", F.posexplode("vec")).groupBy("lang", "pos").agg(F.sum("col").alias("x"))

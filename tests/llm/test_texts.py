@@ -86,6 +86,16 @@ def test_languages(spark):
     assert language_id.fit(relabelled) == language_id.fit(df)  # held-out labels teach nothing
 
 
+def test_many_languages(spark, monkeypatch):
+    _, df = lingual(spark)
+    whole = language_id.fit(df)
+    monkeypatch.setattr(language_id, "HELD_LANGS", 1)
+    parts = language_id.fit(df)
+    assert whole.langs == parts.langs
+    for a, b in zip(whole.prototypes, parts.prototypes):
+        assert np.allclose(np.frombuffer(a, np.float32), np.frombuffer(b, np.float32), atol=1e-5)
+
+
 def test_trigram_vectors_bind_rotated_letters():
     v = language_id._letters()
     code = 3 * language_id.SYMBOLS**2 + 5 * language_id.SYMBOLS + 7
