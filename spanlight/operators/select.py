@@ -235,7 +235,7 @@ def leads(packages: DataFrame, documents: DataFrame, limit: int = 1, only_when_e
     some = packages.where(F.size("items") == 0) if only_when_empty else packages
     each = some.select("query_id", F.explode("omissions").alias("o")).select("query_id", "o.*").where(F.col("rule").isin("below_threshold", "stale_anchor") & F.col("score").isNotNull())
     met = each.join(documents.select("document_id", "content", F.col("source_path").alias("own_path")), "document_id")
-    text = met.withColumn("text", F.substr("content", F.col("start") + 1, F.col("end") - F.col("start"))).where(F.trim("text") != "")
+    text = met.withColumn("text", F.substr("content", F.col("start") + 1, F.col("end") - F.col("start"))).where(F.col("text").rlike(r"\S"))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "start")
     path = F.when(F.col("source_path") != "", F.col("source_path")).otherwise(F.col("own_path"))
     best = text.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)

@@ -435,7 +435,7 @@ def interop_documents(spark, sf_dir):
 @_query(
     _CAND
     + """om AS (SELECT b.*, c.content FROM bs b JOIN corpus c ON c.doc_id::VARCHAR = b.document_id),
-rk AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, start) AS rank, document_id, score, content AS text FROM om WHERE trim(content) <> '')
+rk AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, start) AS rank, document_id, score, content AS text FROM om WHERE regexp_matches(content, '\\S'))
 SELECT query_id, rank::INT AS rank, document_id, score, sha256(text) AS text_sha256 FROM rk WHERE rank <= 3"""
 )
 def leads(spark, sf_dir):
