@@ -1,7 +1,7 @@
 """Language-model scores by compression: zstandard sizes under an in-domain and a general dictionary.
 
 A compressor primed with a dictionary codes a text in about as many bits as a model of that
-dictionary's text would need. Word counts over the whole corpus, and over labelled in-domain documents,
+dictionary's text would need. Word counts over the whole corpus, and over its in-domain documents,
 give each dictionary the words that save most; the score is the normalised difference of a text's
 sizes under both.
 """
@@ -21,8 +21,6 @@ from spanlight.llm.common import held_out, materialize, table
 DICT_BYTES, WINDOW, LEVEL = 64 * 1024, 2048, 3
 #: Words that may go into a dictionary, the rarer ones left out for its size.
 MOST_WORDS = 12_000
-#: Bound of the labelled sample that makes the in-domain dictionary; the general one counts the whole corpus.
-DOMAIN_DOCS = 5000
 
 _compressors: dict[bytes, zs.ZstdCompressor] = {}
 
@@ -77,11 +75,14 @@ def scored(docs: DataFrame, general: bytes, domain: bytes, text_col: str = "text
     return docs.withColumn(out_col, score(F.col(text_col)))
 
 
-def in_domain(docs: DataFrame, labels: DataFrame, most: int = DOMAIN_DOCS) -> DataFrame:
-    """A bounded, repeatable sample of the documents labelled as of good quality that may be learnt from: those of least id hash."""
+def in_domain(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """All documents labelled as of good quality that may be learnt from.
+
+    Both sides are dealt out by id whatever their size: labels grow with the documents, so a
+    broadcast of their ids would end with the input.
+    """
     good = labels.where("quality = 1 and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id").distinct()
-    some = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.join(F.broadcast(some), "doc_id", "left_semi")  # at most `most` ids
+    return docs.join(good.hint("merge"), "doc_id", "left_semi")
 
 
 def op8_lm(spark, sf_dir: str) -> DataFrame:

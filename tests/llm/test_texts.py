@@ -189,3 +189,12 @@ def test_lm_scores(spark):
     got = {r.doc_id: r.lm for r in lm_scoring.scored(docs, general, domain).collect()}
     assert got[1].score > 0 > got[2].score and got[900].score == got[901].score == 0.0 and got[902].n_bytes == len(LONG)
     assert lm_scoring.scored(docs.limit(0), general, domain).count() == 0 and lm_scoring.dictionary(lm_scoring.word_counts(docs.limit(0)))
+
+
+def test_every_good_document_is_in_domain(spark):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("a word").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 > 0).cast("int").alias("quality"))
+    good = labels.where("quality = 1").where(~held_out(F.col("doc_id"))).count()
+    mine = lm_scoring.in_domain(docs, labels.union(labels))
+    assert good > 5000 and {r.word: r.n for r in lm_scoring.word_counts(mine).collect()} == {"a": good, "word": good}
+    assert "BroadcastHashJoin" not in mine._jdf.queryExecution().executedPlan().toString()
