@@ -3,12 +3,13 @@
 Base spans (e-mail, IP, card, phone) are protected entities. Terms near them are counted over the
 whole corpus: how many different texts have the term within a few words of an entity, against how
 many have it at all. A term that is mostly found with one entity tells who is meant; terms whose
-conditional probability and information about an entity exceed the disclosure thresholds are
-protected too. Sanitising generalises entities to their kind and removes or generalises the terms.
+conditional probability and information about an entity exceed the disclosure thresholds, and whose
+meetings with it chance doesn't explain, are protected too. Sanitising generalises entities to their kind and removes or generalises the terms.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,13 +31,13 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
-#: Words on each side of an entity that count as near; least length of a term.
-NEAR_WORDS, LEAST_LETTERS = 5, 4
-#: Disclosure thresholds: different texts that have term and entity together, P(entity | term), bits about the entity.
-LEAST_TEXTS, LEAST_PROBABILITY, LEAST_BITS = 5, 0.75, 6.0
+#: Words on each side of an entity that count as near; least length of a term (a letter of Chinese or Korean has three bytes).
+NEAR_WORDS, LEAST_BYTES = 5, 3
+#: Disclosure thresholds: P(entity | term), bits about the entity; pairs of the corpus that may pass by chance.
+LEAST_PROBABILITY, LEAST_BITS, MOST_CHANCE = 0.75, 6.0, 0.05
 
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
-_WORD = rf"[\p{{L}}\p{{N}}]{{{LEAST_LETTERS},}}"
+_WORD = r"[\p{L}\p{N}]+"
 
 
 def _located(text: Column, pattern: Column, kind: str) -> Column:
@@ -84,7 +85,33 @@ def text_key(text: Column) -> Column:
 
 
 def _all_words(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_WORD), F.lit(0)), F.lower))
+    return F.filter(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_WORD), F.lit(0)), F.lower)), _long)
+
+
+def _long(term: Column) -> Column:
+    return F.octet_length(term) >= LEAST_BYTES
+
+
+def _entity(span: Column) -> Column:
+    """kind:value, the same for all spellings of one value."""
+    value = span["value"]
+    same = (
+        F.when(span["kind"] == "email", F.lower(value))
+        .when(span["kind"] == "ip", F.regexp_replace(value, r"(?<![0-9])0+(?=[0-9])", ""))
+        .otherwise(F.regexp_replace(value, "[^0-9]", ""))
+    )
+    return F.concat(span["kind"], F.lit(":"), same)
+
+
+def _surprise(together: Column, texts: Column, share: Column) -> Column:
+    """Bits against chance: least -log2 P (Chernoff) that of `texts` texts with a term so many have an entity that `share` of all texts have.
+
+    One meeting is left out on both sides, for only pairs that meet at all are looked at.
+    """
+    k, n = together - 1, F.greatest(texts, together, F.lit(2)) - 1
+    x = k / n
+    apart = F.when(k < n, (n - k) * (F.log2(1 - x) - F.log2(1 - share))).otherwise(0.0)
+    return F.when((k > 0) & (x > share), k * F.log2(x / share) + apart).otherwise(0.0)
 
 
 def _nearby(docs: DataFrame, text_col: str) -> DataFrame:
@@ -102,8 +129,7 @@ def _nearby(docs: DataFrame, text_col: str) -> DataFrame:
     words = lambda x: F.transform(F.regexp_extract_all(blank(x), F.lit(r"(?<![\p{L}\p{N}@.+-])[\p{L}\p{N}]+(?![\p{L}\p{N}@+-])"), F.lit(0)), F.lower)
     left, right = words(before), words(after)
     near = F.concat(F.slice(left, F.greatest(F.lit(1), F.size(left) - NEAR_WORDS + 1), NEAR_WORDS), F.slice(right, 1, NEAR_WORDS))
-    entity = F.concat("s.kind", F.lit(":"), F.col("s.value"))
-    return each.select(entity.alias("entity"), "key", F.explode(F.array_distinct(near)).alias("term")).where(F.length("term") >= LEAST_LETTERS).distinct()
+    return each.select(_entity(F.col("s")).alias("entity"), "key", F.explode(F.array_distinct(near)).alias("term")).where(_long(F.col("term"))).distinct()
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -113,22 +139,24 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     term near the entity, and with the term at all. bits is log2 of P(entity | term) over P(entity).
     """
     near = materialize(_nearby(docs, text_col), "near")
-    together = near.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= LEAST_TEXTS)
-    # A term is in at least as many texts as it is near any entity in, which bounds its probability from
-    # above: words that are found near many entities go before the corpus is searched for the rest.
+    total = docs.select(text_key(F.col(text_col)).alias("key")).agg(F.approx_count_distinct("key", 0.02).alias("total")).first()[0] or 1
+    pairs = near.select("entity", "term").distinct().count()
+    least = math.log2(max(pairs, 1) / MOST_CHANCE)  # bits, so that of all pairs looked at fewer than MOST_CHANCE pass by chance
+    of_entity = near.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    share = F.least(F.col("with_entity") / F.lit(total), F.lit(1.0))
+    together = near.groupBy("entity", "term").agg(F.count("*").alias("together")).where("together > 1")  # of a single meeting chance is the whole account
+    # A term is in at least as many texts as it is near any entity in, which bounds its probability and
+    # its surprise from above: words that are found near many entities go before the corpus is searched for the rest.
     around = near.select("term", "key").distinct().groupBy("term").agg(F.count("*").alias("around"))
-    possible = together.join(around, "term").where(F.col("together") >= LEAST_PROBABILITY * F.col("around")).drop("around")
-    candidates = materialize(possible, "together")
+    possible = together.join(around, "term").where(F.col("together") >= LEAST_PROBABILITY * F.col("around")).join(of_entity, "entity")
+    candidates = materialize(possible.where(_surprise(F.col("together"), F.col("around"), share) >= least).drop("around"), "together")
     terms = candidates.select("term").distinct()
     has = docs.select(text_key(F.col(text_col)).alias("key"), F.explode(_all_words(F.col(text_col))).alias("term")).join(terms, "term", "left_semi").distinct()
     texts = has.groupBy("term").agg(F.count("*").alias("texts"))
-    of_entity = near.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    total = docs.select(text_key(F.col(text_col)).alias("key")).agg(F.approx_count_distinct("key", 0.02).alias("total"))
     p = F.col("together") / F.col("texts")
-    bits = F.log2(p * F.col("total") / F.col("with_entity"))
-    n = total.first()[0] or 1
-    scored = candidates.join(texts, "term").join(of_entity, "entity").withColumn("total", F.lit(n)).withColumn("probability", p).withColumn("bits", bits)
-    return scored.where((F.col("probability") >= LEAST_PROBABILITY) & (F.col("bits") >= LEAST_BITS)).select("term", "entity", "together", "texts", "probability", "bits")
+    scored = candidates.join(texts, "term").withColumn("probability", p).withColumn("bits", F.log2(p / share))
+    passed = (F.col("probability") >= LEAST_PROBABILITY) & (F.col("bits") >= LEAST_BITS) & (_surprise(F.col("together"), F.col("texts"), share) >= least)
+    return scored.where(passed).select("term", "entity", "together", "texts", "probability", "bits")
 
 
 def with_spans(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> DataFrame:

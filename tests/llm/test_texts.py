@@ -173,6 +173,14 @@ def test_disclosing_terms_and_sanitising(spark):
     assert pii.with_spans(df.limit(0)).count() == 0
 
 
+def test_disclosing_terms_of_few_texts(spark):
+    rest = [f"text {i} of {i % 7} words {i * 31} here" for i in range(3000)]
+    near = [f"{m} {w} a{i} b{i}" for i, (m, w) in enumerate([("Me@x.org", "Zan"), ("me@X.org", "zan"), ("me@x.org", "zan"), ("+1 269 555 3296", "李明"), ("+1 (269) 555-3296", "李明"), ("+12695553296", "李明"), ("you@x.org", "once")])]
+    df = spark.createDataFrame([(t,) for t in rest + near], "text string")
+    got = {(r.term, r.entity, r.together, r.texts) for r in pii.disclosing_terms(df).collect()}
+    assert got == {("zan", "email:me@x.org", 3, 3), ("李明", "phone:12695553296", 3, 3)}
+
+
 # --- language-model scores ---
 
 
