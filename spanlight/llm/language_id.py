@@ -1,6 +1,6 @@
 """Language identification with hyperdimensional n-gram profiles.
 
-Every letter has a fixed random vector of +1 and -1. A trigram's vector binds (multiplies) its
+Every letter of any script has a fixed random vector of +1 and -1, made of a hash of its code point. A trigram's vector binds (multiplies) its
 letters' vectors, each permuted (rotated) by its position; a text's vector bundles (adds) those of
 its trigrams. A language's prototype bundles the trigrams of all its labelled texts, and a text
 gets the language whose prototype has the largest cosine with its vector.
@@ -22,55 +22,54 @@ from pyspark.sql import functions as F
 from spanlight.llm.common import held_out, table
 
 UNKNOWN = "und"
-#: Dimensions of the vectors; symbols letters are folded to; seed of the letter vectors.
-DIMS, SYMBOLS, SEED = 512, 64, 5
-TRIGRAMS = SYMBOLS**3
-#: Languages that a task counts at a time.
-HELD_LANGS = 64
+#: Dimensions of the vectors; base of trigram codes, above every code point; seed of the letter vectors.
+DIMS, SYMBOLS, SEED = 512, 1 << 21, 5
+#: Languages that a task counts at a time; trigrams that it holds before they are bundled.
+HELD_LANGS, HELD_TRIGRAMS = 64, 1 << 20
 #: Inverse temperature that turns cosines into a share; texts below this share, or this cosine, are rejected.
 SHARPNESS, LEAST_SHARE, LEAST_COSINE = 12.0, 0.3, 0.05
 
 
 @lru_cache(maxsize=1)
 def _symbols() -> np.ndarray:
-    """Symbol of each code point below 0x3000: 0 for other than letters, small letters of Latin one by one, the rest folded."""
-    out = np.zeros(0x3000, np.int32)
-    for c in range(0x3000):
-        ch = chr(c).lower()[:1]
-        if not ch.isalpha():
-            continue
-        if "a" <= ch <= "z":
-            out[c] = 1 + ord(ch) - 97
-        elif 0xDF <= ord(ch) <= 0xFF:
-            out[c] = 27 + ord(ch) - 0xDF if ord(ch) < 0xFF else 27
-        else:
-            out[c] = 60 + (ord(ch) >> 5) % 4
+    """Symbol of each code point: 0 for other than letters, else the code point of the small letter."""
+    out = np.zeros(0x110000, np.int32)
+    for c in range(len(out)):
+        ch = chr(c)
+        if ch.isalpha():
+            out[c] = ord(ch.lower()[:1])
     return out
 
 
-@lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMS))
+class _Letters:
+    """Vectors by code point, or array of code points: bits of splitmix64 as +1 and -1."""
 
+    def __getitem__(self, points: np.ndarray | int) -> np.ndarray:
+        points = np.asarray(points)
+        at = points.astype(np.uint64)[..., None] * np.uint64(DIMS // 64) + np.arange(1 + (SEED << 40), 1 + (SEED << 40) + DIMS // 64, dtype=np.uint64)
+        x = at * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((x ^ (x >> np.uint64(31))).astype("<u8").view(np.uint8), axis=-1)
+        return bits.astype(np.int8) * np.int8(2) - np.int8(1)
 
-@lru_cache(maxsize=1)
-def _bound() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    v = _letters()
-    return np.roll(v, 2, 1), np.roll(v, 1, 1), v
+
+def _letters() -> _Letters:
+    return _Letters()
 
 
 def trigram_vectors(codes: np.ndarray) -> np.ndarray:
     """Vectors of trigram codes: the letters' vectors, rotated by position, multiplied."""
-    a, b, c = _bound()
-    return a[codes // SYMBOLS**2] * b[codes // SYMBOLS % SYMBOLS] * c[codes % SYMBOLS]
+    points, at = np.unique(np.concatenate([codes // SYMBOLS**2, codes // SYMBOLS % SYMBOLS, codes % SYMBOLS]), return_inverse=True)
+    v = _letters()[points]
+    a, b, c = at.reshape(3, -1)
+    return np.roll(v, 2, 1)[a] * np.roll(v, 1, 1)[b] * v[c]
 
 
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct trigram codes of a text and their counts. Runs of other characters count as one blank; trigrams without a letter don't count."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    table_ = _symbols()
-    s = np.where(points < len(table_), table_[np.minimum(points, len(table_) - 1)], 59 + 0 * points.astype(np.int32))
-    s = np.concatenate(([0], s, [0])).astype(np.int32)
+    s = np.concatenate(([0], _symbols()[points], [0])).astype(np.int64)
     s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]
     if len(s) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -83,10 +82,10 @@ def _has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def text_vector(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    out = np.zeros(DIMS, np.float32)
+def text_vector(codes: np.ndarray, n: np.ndarray, kind: type = np.float32) -> np.ndarray:
+    out = np.zeros(DIMS, kind)
     for at in range(0, len(codes), 4096):
-        out += n[at : at + 4096].astype(np.float32) @ trigram_vectors(codes[at : at + 4096]).astype(np.float32)
+        out += n[at : at + 4096].astype(kind) @ trigram_vectors(codes[at : at + 4096]).astype(kind)
     return out
 
 
@@ -104,26 +103,36 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     schema = "lang string, vec array<double>"
 
-    def bundled(counts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for lang, c in counts.items():
-            codes = np.nonzero(c)[0]
-            vec = np.zeros(DIMS)
-            for at in range(0, len(codes), 4096):
-                vec += c[codes[at : at + 4096]] @ trigram_vectors(codes[at : at + 4096]).astype(np.float64)
+    def bundle(sums: dict[str, np.ndarray], held: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> None:
+        for lang, parts in held.items():
+            codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+            sums[lang] += text_vector(codes, np.bincount(at, np.concatenate([w for _, w in parts]), len(codes)), np.float64)
+        held.clear()
+
+    def bundled(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, vec in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([vec])], names=["lang", "vec"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
+        sums: dict[str, np.ndarray] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        n_held = 0
         for b in batches:
             for t, lang in zip(b.column(0), b.column(1).to_pylist()):
                 codes, n = trigrams(t.as_py())
-                if lang not in counts:
-                    if len(counts) == HELD_LANGS:  # bundles add up, so they may be sent in parts
-                        yield from bundled(counts)
-                        counts = {}
-                    counts[lang] = np.zeros(TRIGRAMS, np.float64)
-                counts[lang][codes] += np.sqrt(n)
-        yield from bundled(counts)
+                if lang not in sums:
+                    if len(sums) == HELD_LANGS:  # bundles add up, so they may be sent in parts
+                        bundle(sums, held)
+                        yield from bundled(sums)
+                        sums, n_held = {}, 0
+                    sums[lang] = np.zeros(DIMS)
+                held.setdefault(lang, []).append((codes, np.sqrt(n)))
+                n_held += len(codes) + 1
+                if n_held > HELD_TRIGRAMS:
+                    bundle(sums, held)
+                    n_held = 0
+        bundle(sums, held)
+        yield from bundled(sums)
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(text_col, lang_col)
     sums = rows.mapInArrow(run, schema).select("lang", F.posexplode("vec")).groupBy("lang", "pos").agg(F.sum("col").alias("x"))

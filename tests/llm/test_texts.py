@@ -103,6 +103,21 @@ def test_trigram_vectors_bind_rotated_letters():
     assert (language_id.trigram_vectors(np.array([code]))[0] == want).all()
 
 
+def test_scripts_are_told_apart(spark, monkeypatch):
+    random.seed(8)
+    kinds = {"el": "αβγδεζηθικλμ", "he": "אבגדהוזחטיכל", "ja": "ひらがなのことばをしるす", "ko": "한국어글자를쓰는사람들", "ru": "абвгдежзийкл", "zh": "中文字符不同的語言學習"}
+    rows = [(i, " ".join("".join(random.choices(kinds[k], k=4)) for _ in range(20)), k) for i, k in ((i, sorted(kinds)[i % 6]) for i in range(180))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.fit(df)
+    got = {r.doc_id: r.language.lang for r in language_id.identified(df, model).collect()}
+    assert got == {i: k for i, _, k in rows}
+    assert len({language_id._letters()[ord(c)].tobytes() for c in set("".join(kinds.values()))}) == len(set("".join(kinds.values())))
+    assert not len(language_id.trigrams("🙂。「」")[0])
+    monkeypatch.setattr(language_id, "HELD_TRIGRAMS", 10)
+    for a, b in zip(model.prototypes, language_id.fit(df).prototypes):
+        assert np.allclose(np.frombuffer(a, np.float32), np.frombuffer(b, np.float32), atol=1e-5)
+
+
 # --- toxicity ---
 
 
