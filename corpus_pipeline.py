@@ -12,12 +12,10 @@ from spanlight.llm.common import all_of, materialize, table, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no letter, or too unlike every learnt profile."""
+    """Drops documents without a language, which are those without a letter; short ones stay, however unsure."""
     name = unused(docs, "language")
     out = language_id.identified(docs, language_id.fit(docs), out_col=name)
-    told = F.col(name)
-    sure = (told["lang"] != language_id.UNKNOWN) & (told["score"] >= language_id.LEAST_SHARE) & (told["cosine"] >= language_id.LEAST_COSINE)
-    return out.where(sure).select(all_of(out, docs.columns))
+    return out.where(F.col(name)["lang"] != language_id.UNKNOWN).select(all_of(out, docs.columns))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,8 +26,8 @@ UNKNOWN = "und"
 DIMS, SYMBOLS, SEED = 512, 1 << 21, 5
 #: Languages that a task counts at a time; trigrams that it holds before they are bundled.
 HELD_LANGS, HELD_TRIGRAMS = 64, 1 << 20
-#: Inverse temperature that turns cosines into a share; texts below this share, or this cosine, are rejected.
-SHARPNESS, LEAST_SHARE, LEAST_COSINE = 12.0, 0.3, 0.05
+#: Inverse temperature that turns cosines into a share.
+SHARPNESS = 12.0
 
 
 @lru_cache(maxsize=1)

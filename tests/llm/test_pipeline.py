@@ -69,6 +69,14 @@ def test_stages(spark, folder):
     assert P.run(spark, d).count() == seen[5].count() and P.ORACLE_SQL is None
 
 
+def test_short_texts_have_a_language(spark, folder):
+    d, _ = folder
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang")
+    short = spark.createDataFrame([(1000 + i, f"{chr(65 + i)}.", None) for i in range(26)] + [(2000, "1.", None)], docs.schema)
+    kept = {r.doc_id for r in P.language(spark, docs.union(short), d).collect()}
+    assert {1000 + i for i in range(26)} <= kept and not {400, 401, 402, 2000} & kept
+
+
 def test_stages_take_empty_tables(spark, folder):
     d, _ = folder
     docs = spark.read.parquet(f"{d}/documents.parquet").limit(0)
