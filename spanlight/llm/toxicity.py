@@ -1,39 +1,43 @@
 """Toxicity by compression distance: window lengths under a toxic and an ordinary zstandard dictionary.
 
-Both dictionaries are raw-content dictionaries made from labelled text. The ordinary one holds the
-words that ordinary text repeats most; the toxic one holds words built on strings that toxic text
-repeats in many more different contexts than ordinary text does (counting contexts, not documents,
-keeps copies of one text from making its words look toxic). A window's score is the share of its
-bytes that the toxic dictionary saves over the ordinary one; a document has its largest window's.
-The threshold is calibrated on labelled rows kept out of the dictionaries.
+Labelled texts are cut into windows of some words. zstandard's trainer makes a base dictionary of
+ordinary windows, which both dictionaries have, and of either label a part of its own from the
+windows that tell it best. Which those are is found by cross-fitting: at first the windows that
+the base compresses worst, then those that the dictionaries of the other half of the documents
+compress better for their own label than for the other. A window's distance is the bytes that the
+toxic dictionary saves over the ordinary one. Where it saves any, the windows half a step aside are
+compressed too and the better of both counts as well, so that a chance match in one framing isn't
+enough. A document has its largest window's distance; the threshold is calibrated on labelled rows
+kept out of the dictionaries.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
-from collections.abc import Iterator
+import random
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlight.llm.common import held_out, table
 
-#: Bounds of the labelled sample: documents of either label, and characters of a document.
-TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_CHARS = 1600, 3200, 20_000
-#: Bytes of either dictionary; strings compared; their least contexts and overrepresentation.
-DICT_BYTES, GRAM, LEAST_CONTEXTS, LEAST_RATIO = 48 * 1024, 5, 8, 10.0
-#: Calibrated threshold where labels don't give one, and steepness of the score about it.
-THRESHOLD, STEEPNESS = 0.55, 14.0
-CACHE_WINDOWS = 1_000_000
+#: Bounds of the labelled sample: documents of either label, windows of a document (those of least hash).
+TOXIC_DOCS, ORDINARY_DOCS, DOC_WINDOWS = 1600, 3200, 2000
+#: Words of a window, an even number; bytes from which a word is cut, and of its pieces.
+WINDOW_WORDS, LONG_WORD, PIECE = 8, 48, 24
+#: Bytes of the base and of either label's own part; windows that the base is trained on; share of a label's windows that its part is.
+BASE_BYTES, OWN_BYTES, BASE_WINDOWS, OWN_SHARE, ROUNDS = 300_000, 16_000, 40_000, 0.05, 2
+#: Threshold in bytes where the calibration rows have one label only; what a wrong ordinary row costs against a wrong toxic one; steepness of the score about the threshold.
+THRESHOLD, FALSE_ALARM, STEEPNESS = 6.5, 2.0, 0.7
 
-_WORD = re.compile(r"\w+")
-#: Framing that both dictionaries know: zstandard neither compresses very short input nor looks for matches in its last bytes.
-_FRAME = bytes(range(1, 25))
+#: Ends every window and both dictionaries: zstandard looks for no matches in the last bytes of its input.
+_END = b" \x01\x02\x03\x04\x05\x06\x07\x08\x0b\x0c\x0e\x0f"
 
 
 @dataclass(frozen=True)
@@ -43,110 +47,158 @@ class Model:
     threshold: float = THRESHOLD
 
 
-def _dictionary(words: Counter) -> bytes:
-    """The most frequent words, the most frequent last, where matches are cheapest."""
-    out, size = [], 0
-    for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
-        b = f" {w} ".encode()
-        size += len(b) + 1
-        if size > DICT_BYTES:
-            break
-        out.append(b)
-    return b"\0".join(reversed(out)) + _FRAME
-
-
-def _contexts(texts: list[str]) -> Counter:
-    """Of each word the number of different words that come before it."""
-    pairs = set()
-    for t in texts:
-        words = _WORD.findall(t.lower())
-        pairs.update(zip([""] + words, words))
-    return Counter(w for _, w in pairs)
-
-
-def _grams(words: Counter) -> Counter:
-    out: Counter = Counter()
-    for w, n in words.items():
-        b = f" {w} ".encode()
-        for g in {b[i : i + GRAM] for i in range(len(b) - GRAM + 1)}:
-            out[g] += n
+def units(text: str | None) -> list[bytes]:
+    """Words in small letters; very long ones (or texts without blanks) in pieces, so that nothing is left out."""
+    out: list[bytes] = []
+    for w in (text or "").lower().encode("utf-8", "replace").split():
+        if len(w) <= LONG_WORD:
+            out.append(w)
+        else:
+            out.extend(w[i : i + PIECE] for i in range(0, len(w), PIECE))
     return out
 
 
-def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries from four fifths of the texts, the threshold from the others."""
-    rest = [[(t, y) for i, t in enumerate(x) if i % 5 == 4] for x, y in ((toxic, 1), (ordinary, 0))]
-    bad, good = (_contexts([t for i, t in enumerate(x) if i % 5 != 4]) for x in (toxic, ordinary))
-    of_bad, of_good = _grams(bad), _grams(good)
-    n_bad, n_good = max(1, bad.total()), max(1, good.total())
-    telling = {g for g, n in of_bad.items() if n >= LEAST_CONTEXTS and n / n_bad >= LEAST_RATIO * (of_good.get(g, 0) + 0.5) / n_good}
-    chosen = Counter()
-    for w, n in bad.items():
-        b = f" {w} ".encode()
-        rare = n / n_bad >= LEAST_RATIO * (good.get(w, 0) + 0.5) / n_good  # ordinary words share strings with telling ones
-        if n > 1 and rare and any(b[i : i + GRAM] in telling for i in range(len(b) - GRAM + 1)):
-            chosen[w] = n
-    model = Model(_dictionary(good), _dictionary(chosen))
-    scorer = Scorer(model)
-    seen = sorted((scorer.distance(t), y) for t, y in rest[0] + rest[1])
-    n1 = len(rest[0])
-    n0 = len(rest[1])
-    if not n1 or not n0:
-        return model
-    best, threshold, below = -1.0, THRESHOLD, [0, 0]
-    for i, (x, y) in enumerate(seen):
-        below[y] += 1
-        after = seen[i + 1][0] if i + 1 < len(seen) else x
-        if after > x:
-            right = (n1 - below[1]) / n1 + below[0] / n0
-            if right > best + 1e-12 or (abs(right - best) <= 1e-12 and abs((x + after) / 2 - THRESHOLD) < abs(threshold - THRESHOLD)):
-                best, threshold = right, (x + after) / 2
-    # A few rows can't move the threshold far: it is drawn to the default with the weight of 20.
-    n = min(n1, n0)
-    return Model(model.ordinary, model.toxic, (n * threshold + 20 * THRESHOLD) / (n + 20))
+def windows(text: str | None) -> list[bytes]:
+    """Windows side by side, the last one shorter."""
+    u = units(text)
+    return [b" ".join(u[i : i + WINDOW_WORDS]) for i in range(0, len(u), WINDOW_WORDS)]
+
+
+def _compressor(dictionary: bytes) -> zs.ZstdCompressor:
+    d = dictionary + _END
+    how = zs.ZstdCompressionParameters.from_level(
+        3, source_size=64, dict_size=len(d), write_content_size=False, write_checksum=False, write_dict_id=False, strategy=zs.STRATEGY_LAZY, min_match=4, search_log=4
+    )
+    return zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=how)
 
 
 class Scorer:
-    def __init__(self, model: Model) -> None:
-        def of(data: bytes) -> zs.ZstdCompressor:
-            how = zs.ZstdCompressionParameters.from_level(3, min_match=4, source_size=64, dict_size=len(data), write_content_size=False, write_checksum=False, write_dict_id=False)
-            return zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(data, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=how)
+    """Distances and scores under a model's two dictionaries."""
 
-        self._model, self._good, self._bad = model, of(model.ordinary), of(model.toxic)
-        self._seen: dict[str, float] = {}
+    def __init__(self, model: Model) -> None:
+        self._threshold = model.threshold
+        self._good, self._bad = _compressor(model.ordinary).compress, _compressor(model.toxic).compress
+
+    def window(self, w: bytes) -> int:
+        """Bytes that the toxic dictionary saves on a window."""
+        x = w + _END
+        return len(self._good(x)) - len(self._bad(x))
+
+    def distance(self, text: str | None) -> int:
+        """Largest distance of a window together with the better one half a step aside; 0 without words."""
+        u, n, best = units(text), WINDOW_WORDS, 0
+        of = lambda a, b: self.window(b" ".join(u[max(0, a) : b])) if a < len(u) and b > 0 else 0
+        for i in range(0, len(u), n):
+            d = of(i, i + n)
+            if d > 0:
+                best = max(best, d + max(of(i - n // 2, i + n // 2), of(i + n // 2, i + n + n // 2)))
+        return best
+
+    def score(self, text: str | None) -> float:
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, STEEPNESS * (self.distance(text) - self._threshold)))))
+
+
+# --- training ---
+
+
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """zstandard's dictionary of the samples; too few to train on are the dictionary themselves."""
+    if sum(map(len, samples)) > 4 * size and len(samples) > 100:
+        try:
+            return zs.train_dictionary(size, samples, k=24, d=8).as_bytes()
+        except zs.ZstdError:
+            pass
+    return b" ".join(samples)[:size]
+
+
+def _without_copies(docs: list[list[bytes]]) -> list[list[bytes]]:
+    """Documents of which at least half is new: copies would pass for material that recurs."""
+    seen: set[int] = set()
+    out = []
+    for d in docs:
+        words = b" ".join(d).split()
+        runs = {hash(tuple(words[i : i + 4])) for i in range(max(1, len(words) - 3))}
+        if 2 * len(runs & seen) <= len(runs):
+            out.append(d)
+        seen |= runs
+    return out
 
-    def window(self, w: str) -> float:
-        known = self._seen.get(w)
-        if known is None:
-            b = w.encode("utf-8", "replace")
-            x = b"".join((_FRAME, b" ", b, b" ", _FRAME))
-            known = (len(self._good.compress(x)) - len(self._bad.compress(x))) / max(6, len(b))
-            if len(self._seen) >= CACHE_WINDOWS:
-                self._seen.clear()
-            if len(w) <= 64:
-                self._seen[w] = known
-        return known
 
-    def distance(self, text: str) -> float:
-        """Largest share of a window's bytes that the toxic dictionary saves; 0 without words."""
-        return max(map(self.window, set(_WORD.findall(text.lower()))), default=0.0)
+def _dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) dictionaries from the windows of documents."""
+    toxic, ordinary = _without_copies(toxic), _without_copies(ordinary)
+    every = [w for d in ordinary for w in d]
+    random.Random(1).shuffle(every)
+    base = _trained(every[:BASE_WINDOWS], BASE_BYTES)
+    plain = _compressor(base).compress
+    rest = {w: len(plain(w + _END)) / (len(w) + 8) for d in toxic + ordinary for w in d}
+
+    def part(docs: list[list[bytes]], key: Callable[[bytes], tuple]) -> bytes:
+        best = sorted({w for d in docs for w in d}, key=lambda w: (*key(w), w), reverse=True)
+        return _trained(best[: max(50, int(len(best) * OWN_SHARE))], OWN_BYTES) + base
+
+    def both(t: list[list[bytes]], o: list[list[bytes]], gain: dict[bytes, int]) -> tuple[bytes, bytes]:
+        return part(o, lambda w: (-gain.get(w, 0), rest[w])), part(t, lambda w: (gain.get(w, 0), rest[w]))
+
+    halves = [(toxic[i::2], ordinary[i::2]) for i in (0, 1)]
+    gains: list[dict[bytes, int]] = [{}, {}]
+    for _ in range(ROUNDS):
+        scorers = [Scorer(Model(*both(*h, g))) for h, g in zip(halves, gains)]
+        gains = [{w: scorers[1 - i].window(w) for docs in halves[i] for d in docs for w in d} for i in (0, 1)]
+    return both(toxic, ordinary, gains[0] | gains[1])
+
+
+def calibrated(distances: list[tuple[int, int]]) -> float:
+    """Threshold between (distance, label) rows with the best sum of both labels' shares right, the ordinary one's times FALSE_ALARM; of equal ones the (upper) middle one."""
+    n = [sum(y == k for _, y in distances) for k in (0, 1)]
+    if not all(n):
+        return THRESHOLD
+    at: list[tuple[float, float]] = []
+    for t in range(min(x for x, _ in distances), max(x for x, _ in distances) + 2):
+        right = sum(y == 1 and x >= t for x, y in distances) / n[1] + FALSE_ALARM * sum(y == 0 and x < t for x, y in distances) / n[0]
+        at.append((round(right, 9), t - 0.5))
+    best = [t for r, t in at if r == max(at)[0]]
+    return best[len(best) // 2]
+
+
+def train(toxic: list[list[bytes]], ordinary: list[list[bytes]], texts: Callable[[list[bytes]], str] = lambda d: b" ".join(d).decode("utf-8", "replace")) -> Model:
+    """Dictionaries from the windows of four fifths of the documents, the threshold from the others."""
+    learnt, rest = ([[d for i, d in enumerate(x) if (i % 5 == 4) == last] for x in (toxic, ordinary)] for last in (False, True))
+    model = Model(*_dictionaries(*learnt))
+    scorer = Scorer(model)
+    return Model(model.ordinary, model.toxic, calibrated([(scorer.distance(texts(d)), y) for y, docs in ((1, rest[0]), (0, rest[1])) for d in docs]))
 
-    def score(self, text: str) -> float:
-        return 1 / (1 + math.exp(-STEEPNESS * (self.distance(text) - self._model.threshold)))
 
+# --- DataFrames ---
 
 _scorers: dict[Model, Scorer] = {}
 
 
-def sample(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, ordinary_docs: int = ORDINARY_DOCS) -> tuple[list[str], list[str]]:
-    """Texts of a bounded, repeatable sample of the labelled documents that may be learnt from."""
+def sample(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, ordinary_docs: int = ORDINARY_DOCS) -> tuple[list[list[bytes]], list[list[bytes]]]:
+    """Windows of a bounded, repeatable sample of the labelled documents that may be learnt from.
+
+    At most toxic_docs + ordinary_docs rows of at most DOC_WINDOWS windows come to the driver,
+    however long the texts and however often an id is repeated (the greatest text of an id counts).
+    """
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("id")
     ids = known.where("toxic = 1").orderBy(order, "id").limit(toxic_docs).union(known.where("toxic = 0").orderBy(order, "id").limit(ordinary_docs))
-    some = docs.where(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(ids), F.col("doc_id") == F.col("id"))  # at most the sum of both limits
-    rows = some.select("id", "toxic", "text").collect()
-    rows.sort(key=lambda r: (r.id, r.text))
-    return [r.text for r in rows if r.toxic], [r.text for r in rows if not r.toxic]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = []
+            for t in b.column(2):
+                w = windows(t.as_py())
+                if len(w) > DOC_WINDOWS:
+                    w = [w[i] for i in sorted(sorted(range(len(w)), key=lambda i: (zlib.crc32(w[i]), i))[:DOC_WINDOWS])]
+                kept.append(w)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.list_(pa.binary()))], names=["id", "toxic", "windows"])
+
+    some = docs.where(F.length("text") > 0).join(F.broadcast(ids), F.col("doc_id") == F.col("id"))  # at most the sum of both limits
+    one = some.select("id", F.col("toxic").cast("int"), "text").groupBy("id", "toxic").agg(F.max("text").alias("text"))
+    rows = one.mapInArrow(cut, "id bigint, toxic int, windows array<binary>").collect()
+    rows.sort(key=lambda r: r.id)
+    return tuple([[bytes(w) for w in r.windows] for r in rows if r.toxic == y and r.windows] for y in (1, 0))  # type: ignore[return-value]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -161,8 +213,9 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
         if model not in _scorers:
             _scorers.clear()  # a worker outlives queries
             _scorers[model] = Scorer(model)
+        of = _scorers[model].score
         for texts in batches:
-            yield texts.map(lambda t: _scorers[model].score(t or ""))
+            yield texts.map(lambda t: of(t or ""))
 
     return docs.withColumn(out_col, score(F.col(text_col)))
 

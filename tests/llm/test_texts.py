@@ -146,6 +146,44 @@ def test_toxicity(spark):
     assert toxicity.scored(docs.limit(0), none).count() == 0
 
 
+def test_toxicity_equals_a_plain_scorer():
+    """Distances recomputed from the definition, one window at a time, with compressors of their own."""
+    random.seed(12)
+    plain = ["".join(random.choices(["an", "the", "or", "ing", "st", "re"], k=random.randint(1, 4))) for _ in range(200)]
+    docs = [" ".join(random.choices(plain, k=random.randint(0, 40)) + ["grimble"] * (i % 3 == 0)) for i in range(200)]
+    model = toxicity.train([toxicity.windows(t) for t in docs[::3]], [toxicity.windows(t) for i, t in enumerate(docs) if i % 3])
+    scorer = toxicity.Scorer(model)
+
+    def size(words, dictionary):
+        data = b" ".join(words) + toxicity._END
+        return len(toxicity._compressor(dictionary).compress(data))
+
+    def plainly(text):
+        words, best = toxicity.units(text), 0
+        of = lambda w: size(w, model.ordinary) - size(w, model.toxic) if w else 0
+        for i in range(0, len(words), 8):
+            if (d := of(words[i : i + 8])) > 0:
+                best = max(best, d + max(of(words[max(0, i - 4) : i + 4]), of(words[i + 4 : i + 12])))
+        return best
+
+    odd = ["", None, "x" * 500, "日本語" * 100, "grimble", LONG[:3000]]
+    assert [scorer.distance(t) for t in docs[:60] + odd] == [plainly(t) for t in docs[:60] + odd]
+    assert b"".join(toxicity.units("ab " + "x" * 500)) == b"ab" + b"x" * 500  # long words whole
+    assert toxicity.calibrated([(0, 0), (1, 0), (5, 1), (9, 1)]) == 3.5 and toxicity.calibrated([(3, 1)]) == toxicity.THRESHOLD
+
+
+def test_toxicity_ties_and_repeats(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c d"), (2, "e f"), (2, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (2, 0)], "doc_id bigint, toxic int")
+    learnt = {r.doc_id for r in docs.where(~held_out(F.col("doc_id"))).collect()}
+    bad, good = toxicity.sample(docs, labels)
+    assert bad == ([[b"c d"]] if 1 in learnt else []) and good == ([[b"e f"]] if 2 in learnt else [])
+    many = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40_000)))], docs.schema)
+    assert [len(d) for x in toxicity.sample(many, labels) for d in x] == [toxicity.DOC_WINDOWS] * (1 in learnt)
+    got = toxicity.scored(docs, toxicity.fit(docs, labels)).collect()
+    assert len(got) == 5 and len({r.toxicity_score for r in got if r.text == "a b"}) == 1
+
+
 # --- personal data ---
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
