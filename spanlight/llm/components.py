@@ -4,21 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from spanlight.llm.common import discard, materialize
 
 
+#: Parts of a vertex's neighbours, reduced apart and then together.
+SALTS = 64
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(a, b, m): the edges and the least neighbour m of a.
+
+    A vertex's neighbours are dealt into SALTS parts by their hash. Each part has its own minimum,
+    the minima of a vertex meet in a window of SALTS rows at most, and go back to the parts; so no
+    task has all edges of a hub.
+    """
+    dealt = edges.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("part"))
+    least = dealt.groupBy("a", "part").agg(F.min("b").alias("m"))
+    least = least.select("a", "part", F.min("m").over(W.partitionBy("a")).alias("m"))
+    return dealt.join(least, ["a", "part"]).select("a", "b", "m")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(id, component) for every vertex of edges(a, b); component is the smallest reachable id.
 
-    Each round is two equi-joins with pre-aggregated minima, so a hub of any degree is only ever
-    reduced by min() before the shuffle; the joins may be split by AQE. Each round's edges are
-    written to the shared folder. Self-loops and nulls are ignored, so vertices that have only
-    those are absent.
+    a and b are of one orderable type. Each round's edges are written to the shared folder. The
+    number of rounds grows with the logarithm of the longest path; max_rounds is a guard against
+    an endless loop only. Self-loops and nulls are ignored, so vertices that have only those are absent.
     """
     now = materialize(
         edges.where("a is not null and b is not null and a <> b")
@@ -31,10 +48,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        small = _with_least(large).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         then = materialize(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
         discard(now)
         now, before = then, seen

@@ -79,40 +79,44 @@ def _first_four(x: Column, mask: Column) -> Column:
     return equal.bitwiseAND(below) == mask
 
 
-def _midpoint_links(hot: DataFrame) -> DataFrame:
+def _midpoint_links(hot: DataFrame, max_bits: int) -> DataFrame:
     """Links among fingerprints of overfull lists, without pairing them.
 
-    Within four bits of each other are just the fingerprints that have a common midpoint within
-    two bits of both. At most 2081 fingerprints share a midpoint; each is linked to the least.
+    Two fingerprints are within max_bits bits of each other just when some midpoint is within half
+    of that (rounded up) of one and within the other half (rounded down) of the other. At most 2081
+    fingerprints share a midpoint; each is linked to the least of those in the smaller half.
     """
-    one = [np.uint64(1) << np.uint64(i) for i in range(64)]
-    masks = np.array([np.uint64(0), *one, *(a | b for a, b in itertools.combinations(one, 2))], np.uint64)
+    far, near = (max_bits + 1) // 2, max_bits // 2
+    bits = [np.uint64(1) << np.uint64(i) for i in range(64)]
+    masks = [(np.uint64(sum(c)), len(c) <= near) for n in range(far + 1) for c in itertools.combinations(bits, n)]
+    flips, close = np.array([m for m, _ in masks], np.uint64), np.array([c for _, c in masks])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(fps), 256):
                 part = fps[at : at + 256]
-                mid = (part[:, None] ^ masks[None, :]).ravel().view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(mid), pa.array(np.repeat(part, len(masks)).view(np.int64))], names=["mid", "fp"])
+                mid = (part[:, None] ^ flips[None, :]).ravel().view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(mid), pa.array(np.repeat(part, len(flips)).view(np.int64)), pa.array(np.tile(close, len(part)))], names=["mid", "fp", "close"])
 
-    near = hot.select("fp").mapInArrow(run, "mid bigint, fp bigint")
-    least = F.min("fp").over(W.partitionBy("mid"))
-    return near.select("fp", least.alias("m")).where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b")).distinct()
+    around = hot.select("fp").mapInArrow(run, "mid bigint, fp bigint, close boolean")
+    least = F.min(F.when(F.col("close"), F.col("fp"))).over(W.partitionBy("mid"))
+    return around.select("fp", least.alias("m")).where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, hot_postings: int = HOT_POSTINGS) -> DataFrame:
     """(a, b) between distinct fingerprints fp: every pair within max_bits (4 at most) differing bits.
 
     Members of lists above hot_postings are linked in stars that connect the same fingerprints as
-    all their pairs would (at max_bits = 4; below that, lists are always paired).
+    all their pairs would, so nothing is left out at any size.
     """
     if not 0 <= max_bits <= 4:
         raise ValueError("four shared positional bytes are guaranteed for at most four differing bits")
-    size = F.count("*").over(W.partitionBy("key"))
-    lists = materialize(_postings(distinct).withColumn("n", size).where("n > 1"), "postings")
-    if max_bits < 4:
-        hot_postings = 1 << 62
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(distinct.select("fp").repartition(tasks, "fp"), "distinct")  # few bytes, but 70 rows come of each
+    posts = _postings(dealt)
+    sizes = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    lists = materialize(posts.join(sizes, "key"), "postings")
     cold = lists.where(F.col("n") <= hot_postings)
     a, b = cold.select("key", F.col("fp").alias("a")), cold.select("key", F.col("fp").alias("b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
@@ -121,23 +125,30 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, hot_postings: int = HOT
     hot = lists.where(F.col("n") > hot_postings)
     if hot.isEmpty():
         return out
-    return out.union(_midpoint_links(hot.select("fp").distinct()))
+    return out.union(_midpoint_links(hot.select("fp").distinct().repartition(tasks, "fp"), max_bits))
+
+
+#: Vertices without any id come after all ids.
+_VERTEX, _NO_ID, _ID_END = "decimal(21,0)", str(1 << 64), str(1 << 63)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, hot_postings: int = HOT_POSTINGS) -> DataFrame:
     """(id_col, fingerprint, component_id): one row for each row of docs.
 
     fingerprint is 16 lowercase hex digits; component_id is the smallest id reachable over links of
-    at most max_bits bits. Rows of equal fingerprint are one vertex. Null and empty texts have
-    fingerprint 0; a null id is never a component's smallest (null only if a group has no other).
-    Extra columns of docs are ignored.
+    at most max_bits bits. Rows of equal fingerprint are one vertex, named by their least id, so that
+    a component's least vertex is its id. Null and empty texts have fingerprint 0; a null id is never
+    a component's smallest (null only if a group has no other). Extra columns of docs are ignored.
     """
     each = materialize(fingerprints(docs, id_col, text_col), "simhash")
-    nodes = each.groupBy("fp").agg(F.min(id_col).alias("least"))
-    found = connected_components(links(nodes.select("fp"), max_bits, hot_postings))
-    joined = nodes.join(found.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = joined.join(least, "component").select("fp", "component_id")
+    unnamed = F.lit(_NO_ID).cast(_VERTEX) + F.col("fp").cast(_VERTEX)
+    nodes = each.groupBy("fp").agg(F.min(id_col).alias("least")).select("fp", F.coalesce(F.col("least").cast(_VERTEX), unnamed.cast(_VERTEX)).alias("v"))
+    nodes = materialize(nodes, "vertices")
+    found = links(nodes, max_bits, hot_postings)
+    edges = found.join(nodes.select(F.col("fp").alias("a"), F.col("v").alias("va")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("v").alias("vb")), "b")
+    comp = connected_components(edges.select(F.col("va").alias("a"), F.col("vb").alias("b")))
+    of = nodes.join(comp, nodes.v == comp.id, "left").select("fp", F.coalesce("component", "v").alias("component"))
+    of = of.select("fp", F.when(F.col("component") < F.lit(_ID_END).cast(_VERTEX), F.col("component")).cast("bigint").alias("component_id"))
     return each.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

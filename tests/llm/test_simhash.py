@@ -30,6 +30,11 @@ def test_components(spark):
     assert connected_components(rows.limit(0)).count() == 0
 
 
+def test_components_of_long_paths(spark):
+    rows = spark.range(5000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert connected_components(rows).where("component <> 0").count() == 0
+
+
 def test_fingerprints_of_edge_cases():
     assert S.fingerprint(None) == S.fingerprint("") == S.fingerprint(" \t\n") == 0
     assert S.fingerprint("A b") == S.fingerprint("a\x0bB") != S.fingerprint("a b c")
@@ -38,8 +43,8 @@ def test_fingerprints_of_edge_cases():
     assert S.fingerprint(long) == S.fingerprint("word word word word")
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
-def test_links_equal_all_pairs(spark, hot):
+@pytest.mark.parametrize("hot,bits", [(2000, 4), (3, 4), (3, 3), (3, 2), (3, 1), (3, 0)])
+def test_links_equal_all_pairs(spark, hot, bits):
     random.seed(hot)
     base = [random.getrandbits(64) for _ in range(12)]
     fps = {0, *base}
@@ -51,11 +56,11 @@ def test_links_equal_all_pairs(spark, hot):
             fps.add(x)
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    got = [(r.a % (1 << 64), r.b % (1 << 64)) for r in S.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), hot_postings=hot).collect()]
-    want = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4}
+    got = [(r.a % (1 << 64), r.b % (1 << 64)) for r in S.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), bits, hot_postings=hot).collect()]
+    want = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= bits}
     if hot == 2000:
         assert {tuple(sorted(p)) for p in got} == want and len(got) == len(want)
-    assert roots(got) == roots(want) and all((a ^ b).bit_count() <= 4 for a, b in got)
+    assert roots(got) == roots(want) and all((a ^ b).bit_count() <= bits for a, b in got)
     with pytest.raises(ValueError):
         S.links(spark.createDataFrame([(1,)], "fp bigint"), 5)
 
