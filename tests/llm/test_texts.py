@@ -15,21 +15,36 @@ LONG = "Many words stand here. " * 20_000
 # --- fingerprints ---
 
 
-def test_difference_equals_set_difference():
-    rng = np.random.default_rng(3)
-    for n, m, both in ((0, 0, 0), (1, 0, 0), (3, 2, 40), (40, 50, 10), (900, 700, 300), (0, 0, 500)):
-        a, b, c = (rng.integers(0, 1 << 63, k).astype(np.uint64) for k in (n, m, both))
-        x, y = np.unique(np.concatenate([a, c])), np.unique(np.concatenate([b, c]))
-        more, less = fingerprints.difference(x, y)
-        assert set(more.tolist()) == set(a.tolist()) and set(less.tolist()) == set(b.tolist())
+def test_two_fingerprints_tell_their_difference():
+    """Digests recovered from the two strings alone equal the sets' difference, however far apart the texts are."""
+    random.seed(3)
+    unit = lambda: "".join(random.choices("abcdefgh ", k=12)) + "."
+    for n, m, both in ((0, 0, 0), (1, 0, 0), (3, 2, 40), (40, 50, 10), (900, 700, 300), (0, 0, 500), (2, 900, 1), (0, 60, 0)):
+        common = [unit() for _ in range(both)]
+        a, b = (" ".join([unit() for _ in range(k)] + common) for k in (n, m))
+        x, y = (set(fingerprints.digests(t).tolist()) for t in (a, b))
+        f, g = fingerprints.fingerprint(a), fingerprints.fingerprint(b)
+        assert fingerprints.difference(f, g) == (x - y, y - x)
+        assert fingerprints.likeness(f, g) == (len(x & y) / len(x | y) if x | y else 1.0)
+
+
+def test_sketches_of_many_fold_and_peel():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, k).astype(np.uint64)) for k in [0, 1, 2, 3, 5, 8, 13, 100, 1000] * 20]
+    all_ = fingerprints.sketched(sets)
+    assert all_.sizes().tolist() == [len(s) for s in sets] and (3 << all_.bits <= np.maximum(48, [8 * len(s) for s in sets])).all()
+    owner, keys, sign, whole = all_.take(np.arange(len(sets))).peel()
+    assert whole.all() and (sign == 1).all() and all(set(keys[owner == i].tolist()) == set(s.tolist()) for i, s in enumerate(sets))
+    small = fingerprints.Sketches(np.full(1, 3))
+    small.add(np.zeros(100, np.int64), sets[7])
+    big = fingerprints.sketched([sets[7]]).folded(np.array([3]))
+    assert (big.counts == small.counts).all() and (big.keys == small.keys).all() and (big.checks == small.checks).all()
 
 
 def test_fingerprints_of_texts():
     f = fingerprints.fingerprint
     assert f("A b. C d.\nE") == f("A b.  C d.\n\n E ") and f("a.") != f("a. a.") and f(None) == f("")
-    a, b = fingerprints.digests("One. Two. Three."), fingerprints.digests("One. Two. Four.")
-    assert fingerprints.likeness(a, b) == 0.5 and fingerprints.likeness(a, a) == 1.0
-    assert fingerprints.likeness(fingerprints.digests(""), fingerprints.digests("")) == 1.0
+    assert fingerprints.likeness(f("One. Two. Three."), f("One. Two. Four.")) == 0.5 and fingerprints.likeness(f(""), f("")) == 1.0
     words = " ".join(f"w{i}" for i in range(5000))
     assert 100 < len(fingerprints.paragraphs(words)) < 1500 and " ".join(fingerprints.paragraphs(words)) == words
 
@@ -39,6 +54,7 @@ def test_compared(spark, partitions):
     random.seed(2)
     rows = [(i, "".join(random.choice("ab.é🙂 \n") for _ in range(random.randint(0, 50)))) for i in random.sample(range(1000), 60)]
     rows += [(5000, None), (5001, ""), (5002, LONG), (5002, "tie"), (None, "last of all")]
+    rows += [(None, f"text {i}. of none") for i in range(40)] + [(7000, f"text {i}.") for i in range(40)] + [(7001, "same")] * 5
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
@@ -46,17 +62,21 @@ def test_compared(spark, partitions):
         got = fingerprints.compared(df).collect()
         assert fingerprints.compared(df.limit(0)).count() == 0
         alone = fingerprints.compared(df.where("doc_id = 5002 and text = 'tie'")).collect()
+        hashes = {r.t: r.h for r in df.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
-    order = sorted(((i if i is not None else -(1 << 63), t or "") for i, t in rows), reverse=True)
-    want = set()
-    for n, (i, t) in enumerate(order):
-        after = order[(n + 1) % len(order)][1]
+    order = sorted(((i if i is not None else -(1 << 63), hashes[t or ""], t or "") for i, t in rows), reverse=True)
+    want = []
+    for n, (i, _, t) in enumerate(order):
+        after = order[(n + 1) % len(order)][2]
         new = fingerprints.edited(t, after)
         sets = [set(fingerprints.digests(x).tolist()) for x in (t, new, after)]
         share = [len(sets[0] & s) / len(sets[0] | s) if sets[0] | s else 1.0 for s in sets[1:]]
-        want.add((i if i != -(1 << 63) else None, len(t), hashlib.sha256(new.encode()).hexdigest(), fingerprints.fingerprint(t), fingerprints.fingerprint(new), *share))
-    assert {tuple(r) for r in got} == want and len(got) == len(rows)
+        want.append((i if i != -(1 << 63) else None, len(t), hashlib.sha256(new.encode()).hexdigest(), fingerprints.fingerprint(t), fingerprints.fingerprint(new), *share))
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    assert sorted((tuple(r) for r in got), key=key) == sorted(want, key=key) and len(got) == len(rows)
+    for r in got[:50]:
+        assert r.near_edited == fingerprints.likeness(r.fingerprint, r.edited_fingerprint)
     assert alone[0].near_next == 1.0 and alone[0].edited_sha256 == hashlib.sha256(b"tit").hexdigest()
 
 
