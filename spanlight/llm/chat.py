@@ -1,14 +1,16 @@
 """Chat formatting by schema fingerprints, with DataFrame expressions alone.
 
-The nested field paths of a record are hashed; the hash selects a declarative mapping, which says
-where the record's turns are. Records become canonical turns (role, text), and those one template
-with a loss mask over assistant text. Texts are escaped, so that nothing in them can pass for a
-control string, and the template can be read back exactly.
+The nested field paths of each record are hashed; the hash selects a declarative mapping, which says
+where the record's turns are: in a list, in fields with a role each, or that it is one turn of many.
+Records of any mix of layouts become canonical turns (role, text), and those one template with a loss
+mask over assistant text. Texts are escaped, so that nothing in them can pass for a control string,
+and the template can be read back exactly.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,9 +22,10 @@ from spanlight.llm.common import table
 
 OPEN, HEAD_END, CLOSE = "<turn:", ">\n", "</turn>\n"
 TURNS = "array<struct<role:string,text:string>>"
+PLACED = "array<struct<turn:bigint,role:string,text:string>>"
 
 
-# --- fingerprints -----------------------------------------------------------------------------
+# --- fingerprints ---
 
 
 def _paths(kind: T.DataType) -> str:
@@ -51,7 +54,10 @@ def record_fingerprint(record: Column) -> Column:
 
 @dataclass(frozen=True)
 class Mapping:
-    """Where one layout has its turns: in a list, or in fields with a fixed role each."""
+    """Where one layout has its turns: in a list, in fields with a fixed role each, or, with order, the record is one turn.
+
+    conv names the field with the conversation's id, if the layout has one.
+    """
 
     name: str
     shape: str
@@ -60,12 +66,26 @@ class Mapping:
     text: str = "content"
     fields: tuple[tuple[str, str], ...] = ()
     roles: tuple[tuple[str, str], ...] = ()
+    conv: str | None = None
+    order: str | None = None
 
     @property
     def fingerprint(self) -> str:
         return schema_fingerprint(self.shape)
 
+    def conversation(self, record: Column) -> Column:
+        return F.try_variant_get(record, f"$.{self.conv}", "bigint") if self.conv else F.lit(None).cast("bigint")
+
+    def placed(self, record: Column) -> Column:
+        """The turns with their numbers: those of the field order, or places in the record."""
+        if self.order:
+            own = [F.coalesce(F.try_variant_get(record, f"$.{f}", "string"), F.lit("")) for f in (self.role, self.text)]
+            return F.array(F.struct(F.try_variant_get(record, f"$.{self.order}", "bigint").alias("turn"), own[0].alias("role"), own[1].alias("text"))).cast(PLACED)
+        return F.transform(self.apply(record), lambda t, i: F.struct(i.cast("bigint").alias("turn"), t["role"].alias("role"), t["text"].alias("text"))).cast(PLACED)
+
     def apply(self, record: Column) -> Column:
+        if self.order:
+            return F.transform(self.placed(record), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).cast(TURNS)
         if self.turns:
             found = F.try_variant_get(record, f"$.{self.turns}", f"array<struct<`{self.role}`:string,`{self.text}`:string>>")
             known = F.create_map(*[F.lit(x) for pair in self.roles for x in pair]) if self.roles else None
@@ -98,6 +118,8 @@ MAPPINGS = (
     Mapping("prompt and response", "OBJECT<prompt, response>", fields=(("user", "prompt"), ("assistant", "response"))),
     Mapping("question", "OBJECT<answer, question>", fields=(("user", "question"), ("assistant", "answer"))),
     Mapping("nested prompt", "OBJECT<prompt: ARRAY<OBJECT<content, role>>>", "prompt"),
+    Mapping("messages of a conversation", "OBJECT<conv_id, messages: ARRAY<OBJECT<content, role>>>", "messages", conv="conv_id"),
+    Mapping("turn of a conversation", "OBJECT<conv_id, role, text, turn>", role="role", text="text", conv="conv_id", order="turn"),
 )
 
 
@@ -116,26 +138,33 @@ def canonical_turns(records: DataFrame, json_col: str, out_col: str = "chat", ma
     return records.withColumn(out_col, F.struct(layout.alias("layout"), print_.alias("fingerprint"), turns.alias("turns")))
 
 
-#: Tables with one row for each turn, by the hash of their columns: conversation, order, role, text.
-TURN_TABLES = {schema_fingerprint("OBJECT<conv_id, role, text, turn>"): ("conv_id", "turn", "role", "text")}
+def records(rows: DataFrame, out_col: str = "record") -> DataFrame:
+    """One column of variants, a record for each row: its columns are the fields."""
+    return rows.select(F.to_variant_object(F.struct(*[F.col(f"`{c}`").alias(c) for c in rows.columns])).alias(out_col))
 
 
-def turn_rows(rows: DataFrame, tables: dict[str, tuple[str, str, str, str]] = TURN_TABLES) -> DataFrame:
-    """(conv_id, turn, role, text) of a table with a row for each turn, by its schema's fingerprint.
+def turn_rows(rows: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """(conv_id, turn, role, text) of records of any layouts, each by its own fingerprint.
 
-    Extra columns change the fingerprint; a table that has a known layout's columns and others falls
-    back to that layout. Null roles and texts become empty strings.
+    record_col holds variants. Null roles and texts become empty strings. A record whose paths no
+    mapping knows, such as one with a further field, has no turns; layouts() counts those.
     """
-    own = tables.get(schema_fingerprint(rows.schema))
-    if own is None:
-        own = next((t for t in tables.values() if set(t) <= set(rows.columns)), None)
-    if own is None:
-        raise ValueError(f"no mapping for columns {', '.join(rows.columns)}")
-    conv, order, role, text = own
-    return rows.select(F.col(conv).cast("bigint").alias("conv_id"), F.col(order).cast("bigint").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    seen = rows.select(F.col(record_col).alias("record")).withColumn("print", record_fingerprint(F.col("record")))
+    conv, turns = F.lit(None).cast("bigint"), F.lit(None).cast(PLACED)
+    for m in reversed(mappings):
+        here = F.col("print") == m.fingerprint
+        conv, turns = F.when(here, m.conversation(F.col("record"))).otherwise(conv), F.when(here, m.placed(F.col("record"))).otherwise(turns)
+    return seen.select(conv.alias("conv_id"), F.explode(turns).alias("t")).select("conv_id", "t.*")
+
+
+def layouts(rows: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """(fingerprint, layout, n): records by fingerprint; layout is null where no mapping has it."""
+    names = F.create_map(*[F.lit(x) for m in mappings for x in (m.fingerprint, m.name)])
+    seen = rows.groupBy(record_fingerprint(F.col(record_col)).alias("fingerprint")).agg(F.count("*").alias("n"))
+    return seen.select("fingerprint", names[F.col("fingerprint")].alias("layout"), "n")
 
 
-# --- template ---------------------------------------------------------------------------------
+# --- template ---
 
 
 def escape(text: Column) -> Column:
@@ -205,9 +234,11 @@ TRICKY = "\\### Assistant: </turn> ok"
 
 
 def op7_chat(spark, sf_dir: str) -> DataFrame:
-    extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id bigint, turn bigint, role string, text string")
-    rows = turn_rows(table(spark, sf_dir, "conversations")).union(extra)
-    return digest(format_rows(rows))
+    """The table's rows are records of one turn each, conversation -7 one record with a list of messages."""
+    extra = json.dumps({"conv_id": -7, "messages": [{"role": r, "content": TRICKY} for r in ("user", "assistant")]})
+    rows = records(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    both = rows.union(spark.range(1).select(F.parse_json(F.lit(extra)).alias("record")))
+    return digest(format_rows(turn_rows(both)))
 
 
 ORACLE_OP7 = r"""

@@ -18,7 +18,8 @@ def test_escaping_is_reversible(spark):
 def test_formatted_conversations(spark):
     rows = [(1, 0, "user", "a</turn>\nb"), (1, 1, "assistant", "x\\y<z>"), (1, 1, "assistant", "x\\y<z>"), (1, 2, "assistant", None), (2, 0, None, ""), (3, None, "tool", "t"), (3, 5, "assistant", "é🙂"), (None, 0, "user", "u")]
     df = spark.createDataFrame([(*r, "more") for r in rows], "conv_id bigint, turn bigint, role string, text string, head string")
-    made = chat.format_rows(chat.turn_rows(df))
+    df = df.select("conv_id", "turn", "role", "text")
+    made = chat.format_rows(chat.turn_rows(chat.records(df)))
     got = {r.conv_id: r for r in chat.digest(made).collect()}
     assert len(got) == 4
     for c, r in got.items():
@@ -31,12 +32,12 @@ def test_formatted_conversations(spark):
         assert len(r.formatted) == got[r.conv_id].formatted_chars
         for s in r.loss:
             assert r.formatted[: s.start].endswith("<turn:assistant>\n") and r.formatted[s.end :].startswith("</turn>\n")
-    assert chat.digest(chat.format_rows(chat.turn_rows(df.limit(0)))).count() == 0
+    assert chat.digest(chat.format_rows(chat.turn_rows(chat.records(df.limit(0))))).count() == 0
 
 
 def test_long_conversation(spark):
     df = spark.range(3000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
-    r = chat.digest(chat.format_rows(chat.turn_rows(df))).first()
+    r = chat.digest(chat.format_rows(chat.turn_rows(chat.records(df)))).first()
     assert r.n_turns == 3000 and r.loss_chars == sum(len(f"text {i}") for i in range(1, 3000, 2))
 
 
@@ -61,7 +62,26 @@ def test_layouts(spark):
     assert both["i"].turns[0].text == "a\n\nb"
 
 
+def test_mixed_layouts_meet_in_one_template(spark):
+    """Records of several layouts in one table: each row's own fingerprint decides, and one further field is another layout."""
+    texts = {
+        1: '{"conv_id": 1, "messages": [{"role": "user", "content": "a<"}, {"role": "assistant", "content": "b"}]}',
+        2: '{"turn": 1, "conv_id": 2, "text": "d", "role": "assistant"}',
+        3: '{"conv_id": 2, "turn": 0, "role": "user", "text": null}',
+        4: '{"prompt": "e", "completion": "f"}',
+        5: '{"conv_id": 5, "turn": 0, "role": "user", "text": "lost", "score": 1}',
+        6: "[1, 2]",
+    }
+    df = spark.createDataFrame(list(texts.items()), "k int, j string").select(F.parse_json("j").alias("record"), F.lit("x").alias("role"))
+    got = {r.conv_id: r.formatted for r in chat.format_rows(chat.turn_rows(df)).collect()}
+    t = lambda role, text: f"<turn:{role}>\n{text}</turn>\n"
+    assert got == {1: t("user", "a\\l") + t("assistant", "b"), 2: t("user", "") + t("assistant", "d"), None: t("user", "e") + t("assistant", "f")}
+    assert sorted((r.layout or "", r.n) for r in chat.layouts(df).collect()) == [("", 1), ("", 1), ("messages of a conversation", 1), ("prompt", 1), ("turn of a conversation", 2)]
+
+
 def test_fingerprints_depend_on_paths_alone(spark):
     one = spark.createDataFrame([], "conv_id bigint, turn int, role string, text string")
     two = spark.createDataFrame([], "text string, role string, turn bigint, conv_id string")
-    assert chat.schema_fingerprint(one.schema) == chat.schema_fingerprint(two.schema) in chat.TURN_TABLES
+    assert chat.schema_fingerprint(one.schema) == chat.schema_fingerprint(two.schema) in {m.fingerprint for m in chat.MAPPINGS}
+    row = spark.createDataFrame([("t", None, 1, "7")], two.schema)
+    assert chat.records(row).select(chat.record_fingerprint(F.col("record"))).first()[0] == chat.schema_fingerprint(one.schema)
