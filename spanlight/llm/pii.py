@@ -10,6 +10,7 @@ meetings with it chance doesn't explain, are protected too. Sanitising generalis
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,23 +37,47 @@ NEAR_WORDS, LEAST_BYTES = 5, 3
 #: Disclosure thresholds: P(entity | term), bits about the entity; pairs of the corpus that may pass by chance.
 LEAST_PROBABILITY, LEAST_BITS, MOST_CHANCE = 0.75, 6.0, 0.05
 
+#: Items of a text that are folded at a time.
+PART = 256
+
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 _WORD = r"[\p{L}\p{N}]+"
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once: within a lambda, an expression is computed again for every element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _in_parts(items: Column, start: Column, step: Callable[[Column, Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """A fold whose state grows by every item, in parts of PART items: step builds a part from an empty state,
+    join puts a part's state behind all before it. So no long array is copied for each item."""
+    return _let(items, lambda x: F.aggregate(_parts(x), start, lambda acc, part: join(acc, F.aggregate(part, start, step))))
+
+
+def _parts(items: Column) -> Column:
+    last = F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / PART).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * PART + 1, PART))
+
+
 def _located(text: Column, pattern: Column, kind: str) -> Column:
     """Leftmost, non-overlapping matches with code-point offsets: gaps and matches alternate, so their lengths add up."""
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), m.alias("value")))
+    found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    steps = F.filter(F.zip_with(found, gaps, lambda m, gap: F.struct(F.length(gap).alias("gap"), m.alias("value"))), lambda x: x["value"].isNotNull())
+
+    def span(start: Column, end: Column, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), value.alias("value"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.length(x["value"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span(start, end, x["value"]))).alias("out"))
+
+    def join(acc: Column, part: Column) -> Column:
+        moved = F.transform(part["out"], lambda s: span(acc["at"] + s["start"], acc["at"] + s["end"], s["value"]))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["out"], moved).alias("out"))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")), step, lambda acc: acc["out"])
+    return _in_parts(steps, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")), step, join)["out"]
 
 
 def _luhn(value: Column) -> Column:
@@ -114,22 +139,33 @@ def _surprise(together: Column, texts: Column, share: Column) -> Column:
     return F.when((k > 0) & (x > share), k * F.log2(x / share) + apart).otherwise(0.0)
 
 
+#: One pass over a text: entities (or what only looks like one) and words that aren't part of an address or number.
+_TOKENS = "|".join([*PATTERNS.values(), r"(?<![\p{L}\p{N}@.+-])[\p{L}\p{N}]++(?![@+-])"])
+
+
+def _token(value: Column) -> Column:
+    """struct<kind, value>: kind null for words."""
+    kind = reduce(lambda rest, k: F.when(value.rlike(f"^(?:{PATTERNS[k]})$"), F.lit(k)).otherwise(rest), reversed(PATTERNS), F.lit(None).cast("string"))
+    return F.struct(kind.alias("kind"), value.alias("value"))
+
+
 def _nearby(docs: DataFrame, text_col: str) -> DataFrame:
-    """(entity, term, key), distinct: terms within NEAR_WORDS words of an entity, in texts of that key.
+    """(entity, term, key), distinct: terms among the NEAR_WORDS tokens on either side of an entity, in texts of that key.
 
-    Other entities in between are blanked, so that parts of theirs aren't terms. Only the stretch
-    beside each mention is looked at, so a text with many mentions costs in proportion to them.
+    Tokens are whole words of any length and entities, in the order of the text; a text with many
+    mentions costs in proportion to them.
     """
-    reach = 24 * NEAR_WORDS
-    seen = docs.select(F.col(text_col).alias("t"), text_key(F.col(text_col)).alias("key"), base_spans(F.col(text_col)).alias("spans")).where(F.size("spans") > 0)
-    each = seen.select("t", "key", F.explode("spans").alias("s"))
-    before = F.substr("t", F.greatest(F.lit(1), F.col("s.start") - reach + 1), F.least(F.lit(reach), F.col("s.start")))
-    after = F.substr("t", F.col("s.end") + 1, F.lit(reach))
-    blank = lambda x: reduce(lambda t, p: F.regexp_replace(t, p, " | "), PATTERNS.values(), x)
-    words = lambda x: F.transform(F.regexp_extract_all(blank(x), F.lit(r"(?<![\p{L}\p{N}@.+-])[\p{L}\p{N}]+(?![\p{L}\p{N}@+-])"), F.lit(0)), F.lower)
-    left, right = words(before), words(after)
-    near = F.concat(F.slice(left, F.greatest(F.lit(1), F.size(left) - NEAR_WORDS + 1), NEAR_WORDS), F.slice(right, 1, NEAR_WORDS))
-    return each.select(_entity(F.col("s")).alias("entity"), "key", F.explode(F.array_distinct(near)).alias("term")).where(_long(F.col("term"))).distinct()
+    seen = docs.select(F.col(text_col).alias("t"), text_key(F.col(text_col)).alias("key")).where(F.size(base_spans(F.col("t"))) > 0)
+    tokens = F.transform(F.regexp_extract_all("t", F.lit(_TOKENS), F.lit(0)), _token)
+
+    def mention(all_: Column, x: Column, i: Column) -> Column:
+        around = F.slice(all_, F.greatest(F.lit(1), i - NEAR_WORDS + 1), F.lit(NEAR_WORDS + 1) + F.least(F.lit(NEAR_WORDS), i))
+        words = F.transform(F.filter(around, lambda y: y["kind"].isNull()), lambda y: F.lower(y["value"]))
+        return F.when(x["kind"].isNotNull() & _valid(x), F.struct(_entity(x).alias("entity"), F.array_distinct(words).alias("near")))
+
+    mentions = _let(tokens, lambda all_: F.filter(F.transform(all_, lambda x, i: mention(all_, x, i)), lambda m: m.isNotNull()))
+    each = seen.select("key", F.explode(mentions).alias("m"))
+    return each.select("m.entity", "key", F.explode("m.near").alias("term")).where(_long(F.col("term"))).distinct()
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -139,7 +175,7 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     term near the entity, and with the term at all. bits is log2 of P(entity | term) over P(entity).
     """
     near = materialize(_nearby(docs, text_col), "near")
-    total = docs.select(text_key(F.col(text_col)).alias("key")).agg(F.approx_count_distinct("key", 0.02).alias("total")).first()[0] or 1
+    total = docs.select(text_key(F.col(text_col)).alias("key")).distinct().count() or 1
     pairs = near.select("entity", "term").distinct().count()
     least = math.log2(max(pairs, 1) / MOST_CHANCE)  # bits, so that of all pairs looked at fewer than MOST_CHANCE pass by chance
     of_entity = near.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
@@ -184,15 +220,50 @@ def with_spans(docs: DataFrame, text_col: str = "text", out_col: str = "pii") ->
 
 
 def sanitised(text: Column, spans: Column) -> Column:
-    """text with every span replaced by its kind in angle brackets; of overlapping spans the first, then longest, counts."""
+    """text with its spans replaced by their kind in angle brackets; spans that overlap go together, under the kind of the first (of equal starts the longest)."""
     by_place = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
-    done = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    merged = "array<struct<start:int,end:int,kind:string>>"
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(merged).alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        put = F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct((-s["less"]).alias("at"), put.alias("out")))
+    def until(out: Column, end: Column) -> Column:
+        """out with the end of its last span moved."""
+        last = F.element_at(out, -1)
+        return F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), end.alias("end"), last["kind"].alias("kind"))))
 
-    return F.aggregate(by_place, done, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, F.length(text)))), ""))
+    def step(acc: Column, s: Column) -> Column:
+        span, end = F.struct(s["start"].alias("start"), (-s["less"]).alias("end"), s["kind"].alias("kind")), F.greatest(acc["at"], -s["less"])
+        out = F.when((F.size(acc["out"]) > 0) & (s["start"] < acc["at"]), until(acc["out"], end)).otherwise(F.concat(acc["out"], F.array(span)))
+        return F.struct(end.alias("at"), out.cast(merged).alias("out"))
+
+    def join(acc: Column, part: Column) -> Column:
+        """The part's spans that start within the last one before them only move its end."""
+        rest = F.filter(part["out"], lambda s: s["start"] >= acc["at"])
+        within = F.filter(part["out"], lambda s: s["start"] < acc["at"])
+        end = F.greatest(acc["at"], F.element_at(within["end"], -1))
+        out = F.when((F.size(acc["out"]) > 0) & (F.size(within) > 0), F.concat(until(acc["out"], end), rest)).otherwise(F.concat(acc["out"], part["out"]))
+        return F.struct(F.greatest(acc["at"], part["at"]).alias("at"), out.cast(merged).alias("out"))
+
+    def stretch(all_: Column, i: Column) -> Column:
+        """A part's spans, where the stretch of text with them begins, and that text: cut once, so that no span is looked up from the text's start."""
+        begin = F.coalesce(F.get(all_, i * PART - 1)["end"], F.lit(0))
+        some = F.slice(all_, i * PART + 1, PART)
+        end = F.coalesce(F.get(all_, F.least((i + 1) * PART, F.size(all_)) - 1)["end"], begin)
+        return F.struct(begin.alias("begin"), some.alias("spans"), _between(text, begin, end).alias("body"))
+
+    def replaced(x: Column) -> Column:
+        gap = lambda s, i: _between(x["body"], F.coalesce(F.get(x["spans"], i - 1)["end"], x["begin"]) - x["begin"], s["start"] - x["begin"])
+        return F.array_join(F.transform(x["spans"], lambda s, i: F.concat(gap(s, i), F.lit("<"), F.upper(s["kind"]), F.lit(">"))), "")
+
+    def whole(all_: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor(F.greatest(F.size(all_) - 1, F.lit(0)) / PART).cast("int"))
+        done = F.array_join(F.transform(F.transform(places, lambda i: stretch(all_, i)), replaced), "")
+        return F.concat(done, _between(text, F.coalesce(F.get(all_, F.size(all_) - 1)["end"], F.lit(0)), F.length(text)))
+
+    return _let(_in_parts(by_place, none, step, join)["out"], whole)
+
+
+def _between(text: Column, start: Column, end: Column) -> Column:
+    return F.substr(text, start + 1, end - start)
 
 
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -246,6 +246,39 @@ def test_disclosing_terms_and_sanitising(spark):
     assert pii.with_spans(df.limit(0)).count() == 0
 
 
+def test_words_near_an_entity_count_whatever_their_length(spark):
+    long = [c * 28 for c in "abcdefghijk"]
+    rows = [(f"far {' '.join(long[:5])} me@x.org {' '.join(long[5:10])} away or 10.0.0.1",), (" ".join(["no", "1.2.3.4.5", "+1 (269) 555-3296", "here"]),)]
+    got = {(r.entity, r.term) for r in pii._nearby(spark.createDataFrame(rows, "text string"), "text").collect()}
+    assert {t for e, t in got if e == "email:me@x.org"} == set(long[:10])
+    assert {t for e, t in got if e.startswith("ip:10")} == {"away", *long[7:10]}  # `or` has two bytes; it counts all the same
+    assert {t for e, t in got if e.startswith("phone")} == {"here"}
+
+
+def test_sanitised_texts_equal_a_plain_scan(spark):
+    random.seed(13)
+    rows = [("x" * 50 + "é🙂", [(random.choice("ab"), s, s + random.randint(1, 6)) for s in random.choices(range(46), k=k)]) for k in (0, 1, 2, 3, 5, 9, 20) for _ in range(10)]
+    rows += [("word " * 4000, [("a", 5 * i, 5 * i + 4) for i in range(4000)]), ("w" * 3000, [("b", i, i + 2) for i in range(0, 2998)]), ("w" * 9000, [("b", 3 * i, 3 * i + 2 + 600 * (i == 255)) for i in range(0, 2700)])]
+    df = spark.createDataFrame([(i, t, [(k, a, b, "") for k, a, b in s]) for i, (t, s) in enumerate(rows)], f"i int, t string, s {pii.SPANS}")
+    for r in df.select("i", pii.sanitised(F.col("t"), F.col("s")).alias("x")).collect():
+        text, spans = rows[r.i]
+        want, at, kind, top = [], 0, None, 0
+        for k, a, b in sorted(spans, key=lambda s: (s[1], -s[2], s[0])):
+            if kind is None or a >= top:
+                want.append(text[at:a])
+                want.append(f"<{k.upper()}>")
+                kind, top = k, b
+            top = at = max(top, b)
+        assert r.x == "".join(want) + text[at:], r.i
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"u{i}@x.org" for i in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    n, clean = df.select(F.size(pii.base_spans(F.col("text"))), pii.sanitised(F.col("text"), pii.base_spans(F.col("text")))).first()
+    assert n == 20_000 and clean == " ".join(["<EMAIL>"] * 20_000)
+
+
 def test_disclosing_terms_of_few_texts(spark):
     rest = [f"text {i} of {i % 7} words {i * 31} here" for i in range(3000)]
     near = [f"{m} {w} a{i} b{i}" for i, (m, w) in enumerate([("Me@x.org", "Zan"), ("me@X.org", "zan"), ("me@x.org", "zan"), ("+1 269 555 3296", "李明"), ("+1 (269) 555-3296", "李明"), ("+12695553296", "李明"), ("you@x.org", "once")])]
