@@ -305,6 +305,62 @@ def test_lm_scores(spark):
     assert lm_scoring.scored(docs.limit(0), general, domain).count() == 0 and lm_scoring.dictionary(lm_scoring.word_counts(docs.limit(0)))
 
 
+def test_lm_scores_equal_a_plain_version(spark):
+    """Everything again from the definitions: counts, classes of gain, repeated sentences, sizes."""
+    import math
+    from collections import Counter
+
+    random.seed(21)
+    vocabulary = ["".join(random.choices("abcdefgh", k=random.randint(1, 9))) for _ in range(300)]
+    sentence = lambda: " ".join(random.choices(vocabulary, k=random.randint(3, 14))).capitalize() + random.choice([".", "!", "\n"])
+    shared = [sentence() for _ in range(5)]
+    texts = [" ".join([sentence() for _ in range(6)] + random.choices(shared, k=i % 2)) for i in range(80)]
+    texts += [texts[3], texts[3], "x" * 500, "日本語" * 40, None, "", " . ", " ".join(["w"] * 3000)]
+    rows = [(i, t, i % 3 % 2) for i, t in enumerate(texts)] + [(5, texts[5], 1), (None, "of no id", 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    size = 900
+
+    def dictionary(of):
+        counts = Counter(w for t in of for w in re.findall(r"\S{1,64}", (t or "").lower()))
+        hashed = {r.w: r.h for r in spark.createDataFrame([(w,) for w in counts], "w string").selectExpr("w", "pmod(xxhash64(w), 16) h").collect()} if counts else {}
+        gain = {w: (len(w.encode()) - 1) * n for w, n in counts.items() if n > 1}
+        slots: dict = {}
+        for w, g in gain.items():
+            slots.setdefault(math.floor(math.log2(g + 1) * 8) * 16 + hashed[w], []).append(w)
+        out, left = [], size
+        for s in sorted(slots, reverse=True):
+            left -= sum(len(w.encode()) + 1 for w in slots[s])
+            if left < 0:
+                break
+            out += slots[s]
+        return b"".join(f" {w}".encode() for w in sorted(out, key=lambda w: (-gain[w], w))[::-1]) or b" " * 8
+
+    mine = [t for i, t, y in rows if y and i % 7]
+    general, domain = dictionary([t for _, t, _ in rows]), dictionary(mine)
+    assert lm_scoring.dictionary(lm_scoring.word_counts(docs), size) == general
+    assert lm_scoring.dictionary(lm_scoring.word_counts(spark.createDataFrame([(t,) for t in mine], "text string")), size) == domain
+    have = Counter(s for _, t, _ in rows for s in set(lm_scoring.sentences(t)))
+    want = set()
+    for i, t, _ in rows:
+        b = (t or "").lower().encode()
+        more = [s for s in lm_scoring.sentences(t) if have[s] > 1]
+        sizes = []
+        for d in (general + b" ".join([b"", *more]) if more else general, domain):
+            c = lm_scoring._compressor(d)
+            sizes.append(sum(len(c.compress(b[k : k + 2048])) for k in range(0, len(b), 2048)))
+        want.add((i, len(b), *sizes, (sizes[0] - sizes[1]) / max(*sizes, 1)))
+    got = lm_scoring.scored(docs, general, domain, known=lm_scoring.repeated(docs)).selectExpr("doc_id", "lm.*").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(rows)
+    by = {r.doc_id: r.score for r in got}
+    assert by[3] == by[80] < min(by[k] for k in range(0, 80) if k not in (3, 5)) and any(have[s] > 2 for s in have)
+
+
+def test_dictionary_of_one_large_class(spark):
+    counts = spark.createDataFrame([(f"word{i:06d}", 2) for i in range(20_000)], "word string, n bigint")
+    d = lm_scoring.dictionary(counts, 2000)
+    assert 300 < len(d) <= 2000
+
+
 def test_every_good_document_is_in_domain(spark):
     docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("a word").alias("text"))
     labels = docs.select("doc_id", (F.col("doc_id") % 10 > 0).cast("int").alias("quality"))
