@@ -30,8 +30,11 @@ END_ID = 2
 #: Hashed dimensions of a document vector; dimensions of the curve and bits of each.
 HASHED, CURVE_DIMS, CURVE_BITS = 512, 4, 8
 CACHE_WORDS = 1_000_000
-#: Bytes of packed ids in a range of the curve, one task's share; most ranges; sampled documents for their bounds.
-RANGE_BYTES, MOST_RANGES, SAMPLE_DOCS = 10_000_000, 20_000, 4000
+#: Bytes of packed ids in a range of the curve, one task's share, until there are MOST_RANGES of them (a task sorts its
+#: range on disk, so larger ones take longer and no more memory); sampled documents for their bounds, at least and a range.
+RANGE_BYTES, MOST_RANGES, SAMPLE_DOCS, SAMPLE_A_RANGE = 10_000_000, 200_000, 4000, 50
+#: Bytes of packed ids for a code point, as a first guess of how many ranges there will be.
+BYTES_A_CHAR = 0.6
 
 #: Latin letters that lower-casing maps one to one, then marks: NFC leaves both alone and the tokenizer splits between them.
 _WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([,.!;:?%*$&#]*)")
@@ -175,21 +178,25 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
 
 def range_cuts(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int) -> list[int]:
-    """Keys that cut the curve into ranges of about RANGE_BYTES of ids, by the quantiles of a sample.
+    """Keys that cut the curve into ranges of about RANGE_BYTES of ids, by the quantiles of a sample, weighted by length.
 
     The sample decides how many and how even the ranges are, nothing else: every document is dealt
-    to the range of its own key. It holds some SAMPLE_DOCS documents, those of least id hash, and the
-    driver gets two numbers of each.
+    to the range of its own key. It grows with the number of ranges, takes rows whatever their ids,
+    and the driver gets two numbers of each.
     """
-    n = docs.count()
-    share = min(1.0, SAMPLE_DOCS / n) if n else 1.0
-    some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else docs
-    sized = tokenize(some, id_col, text_col, path, end_id).select("hkey", F.length("ids").alias("n"))
-    rows = sized.orderBy(F.xxhash64("hkey")).limit(2 * SAMPLE_DOCS).collect()  # about SAMPLE_DOCS, unless an id is repeated
-    total = sum(r.n for r in rows) / max(1, len(rows)) * n
-    ranges = min(int(total // RANGE_BYTES) + 1, MOST_RANGES)
-    keys = np.sort([r.hkey for r in rows])
-    return sorted({int(k) for k in keys[[len(keys) * i // ranges for i in range(1, ranges)]]}) if ranges > 1 else []
+    n, chars = docs.agg(F.count("*"), F.sum(F.length(text_col))).first()
+    guess = min(int((chars or 0) * BYTES_A_CHAR // RANGE_BYTES) + 1, MOST_RANGES)
+    share = min(1.0, max(SAMPLE_DOCS, SAMPLE_A_RANGE * guess) / n) if n else 1.0
+    some = docs.sample(False, share, 7) if share < 1 else docs
+    rows = tokenize(some, id_col, text_col, path, end_id).select("hkey", F.length("ids").alias("n")).toArrow()
+    if not rows.num_rows:
+        return []
+    keys, sizes = (rows.column(c).to_numpy().astype(np.int64) for c in ("hkey", "n"))
+    order = np.argsort(keys, kind="stable")
+    keys, below = keys[order], np.cumsum(sizes[order])
+    ranges = min(int(below[-1] / len(keys) * n // RANGE_BYTES) + 1, MOST_RANGES)
+    at = np.searchsorted(below, below[-1] / ranges * np.arange(1, ranges))
+    return sorted({int(k) for k in keys[np.minimum(at, len(keys) - 1)]})
 
 
 def _tail(n: int, tokens: int) -> list[int]:
@@ -245,7 +252,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                     held, at = held + len(part), at + len(part)
                     if held == tokens:
                         close([tokens])
-                if len(out) >= 4096:
+                if len(out) >= (512 if keep_ids else 4096):
                     yield batch()
             rows = [(d, s, i.copy(), n) for d, s, i, n in rows]  # the batch's memory goes
         close(_tail(held, tokens))

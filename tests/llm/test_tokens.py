@@ -126,3 +126,17 @@ def test_alike_documents_lie_together(spark):
     got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("sequence_id", "offset").collect()
     order = [p.doc_id % 3 for p in got if p.start == 0]
     assert sum(a != b for a, b in zip(order, order[1:])) < 30  # by chance it would be about 60
+
+
+def test_ranges_are_even_in_ids_not_in_documents(spark, monkeypatch):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(500)]
+    rows = [(7 if i % 3 else i, " ".join(rng.choices(vocabulary[: 20 if i % 2 else 500], k=400 if i % 10 == 0 else 5))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5).cache()
+    monkeypatch.setattr(packing, "RANGE_BYTES", 50_000)
+    monkeypatch.setattr(packing, "SAMPLE_DOCS", 500)
+    cuts = packing.range_cuts(docs, "doc_id", "text", packing.WORD_BPE, 2)
+    sized = packing.tokenize(docs, cuts=cuts).selectExpr("part", "length(ids) n").groupBy("part").sum("n").collect()
+    n = [r[1] for r in sized]
+    assert len(cuts) >= 8 and len(n) == len(cuts) + 1 and max(n) < 3 * sum(n) / len(n)
+    docs.unpersist()
