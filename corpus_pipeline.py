@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose toxicity score is 0.5 or more."""
+    """Drops documents whose toxicity score is 0.5 or more; null and empty texts score below that and stay."""
     name = unused(docs, "toxicity_score")
     out = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), out_col=name)
     return out.where(F.col(name) < 0.5).select(all_of(out, docs.columns))
@@ -42,15 +42,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data, and terms that disclose it, by their kind."""
+    """Replaces personal data, and terms that disclose it, by their kind; null texts stay null, and no row goes."""
     out = pii.sanitise(docs)
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
     return out.select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of 4096-token sequences along the curve."""
-    return packing.pack(docs)
+    """Pieces of 4096-token sequences along the curve, with their token ids."""
+    return packing.pack(docs, keep_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
