@@ -165,7 +165,7 @@ def quotation_spans(quotation: Column, text: Column) -> Column:
     return run(quotation, text)
 
 
-# --- costs ------------------------------------------------------------------------------------
+# --- costs ---
 
 #: Tokens for each character of a class; the classes of this table are its own, not the tokenizer's.
 TOKEN_WEIGHTS = {

@@ -33,7 +33,7 @@ def trim_marks(text: str) -> str:
     return text[a:b]
 
 
-# --- folding with offsets ---------------------------------------------------------------------
+# --- folding with offsets ---
 
 
 @dataclass(frozen=True)
@@ -121,7 +121,7 @@ def find_quotation(quotation: str, text: str, limit: int = QUOTATION_HITS) -> li
     return [(origin[i], origin[min(i + len(needle), len(origin)) - 1] + 1) for i in occurrences(needle, form, limit)]
 
 
-# --- scripts ----------------------------------------------------------------------------------
+# --- scripts ---
 
 #: Of the index tokenizer.
 SCRIPT_RANGES = {
@@ -186,7 +186,7 @@ def split_term(term: str) -> list[str]:
     return [*out, now] if now else out
 
 
-# --- questions --------------------------------------------------------------------------------
+# --- questions ---
 
 
 def needles(query: str) -> list[str]:
@@ -225,7 +225,7 @@ def content_terms(query: str) -> list[str]:
     return out
 
 
-# --- confirmation -----------------------------------------------------------------------------
+# --- confirmation ---
 
 
 @dataclass(frozen=True)
@@ -308,7 +308,7 @@ def widen(text: str, start: int, end: int, context: int) -> tuple[int, int]:
     return left, max(end, min(high if line < 0 else line, last))
 
 
-# --- near duplicates --------------------------------------------------------------------------
+# --- near duplicates ---
 
 
 def shingles(text: str, size: int = 5) -> frozenset[str]:

@@ -53,9 +53,11 @@ def token_stream(sections: DataFrame, key: list[str], text_col: str = "content")
     return folded.select(*key, "folded", C.index_tokens(F.col("folded")).alias("tokens"))
 
 
-def postings(tokens: DataFrame, key: list[str]) -> DataFrame:
-    """(token, *key, tf, positions), grouped within each section before anything is shuffled by token."""
+def postings(tokens: DataFrame, key: list[str], only: DataFrame | None = None) -> DataFrame:
+    """(token, *key, tf, positions), grouped within each section before anything is shuffled by token; `only` has the tokens that matter."""
     each = tokens.select(*key, F.posexplode("tokens").alias("pos", "token"))
+    if only is not None:
+        each = each.join(only, "token", "left_semi")
     return each.groupBy("token", *key).agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
@@ -83,6 +85,17 @@ def term_hits(tokens: DataFrame, posted: DataFrame, key: list[str]) -> DataFrame
     return single.unionByName(phrase)
 
 
+#: Rows up to which a table of keys goes to every task.
+SMALL_ROWS = 200_000
+
+
+def small(keys: DataFrame, most: int | None = None) -> DataFrame:
+    """keys with a broadcast hint if they are SMALL_ROWS at most, by a bound that the caller knows or else by count."""
+    if most is None:
+        most = keys.limit(SMALL_ROWS + 1).count()
+    return F.broadcast(keys) if most <= SMALL_ROWS else keys
+
+
 def idf(n_sections: Column, n_with: Column) -> Column:
     raw = F.log((n_sections.cast("double") - n_with + F.lit(0.5)) / (n_with.cast("double") + F.lit(0.5)))
     return F.when(raw <= 0, F.lit(LEAST_IDF)).otherwise(raw)
@@ -115,8 +128,8 @@ class Index:
 
     KEY = ["document_id", "version", "start", "end"]
 
-    def __init__(self, posted: DataFrame, lengths: DataFrame) -> None:
-        self.postings, self.lengths = posted, lengths
+    def __init__(self, posted: DataFrame, lengths: DataFrame, tokens: DataFrame | None = None) -> None:
+        self.postings, self.lengths, self._tokens = posted, lengths, tokens
 
     @classmethod
     def built(cls, sections: DataFrame, keep: bool = False) -> Index:
@@ -124,7 +137,19 @@ class Index:
         tokens = token_stream(sections, cls.KEY)
         if keep:
             tokens = tokens.persist()
-        return cls(postings(tokens, cls.KEY), tokens.select(*cls.KEY, F.size("tokens").alias("n_tokens")))
+        return cls(postings(tokens, cls.KEY), tokens.select(*cls.KEY, F.size("tokens").alias("n_tokens")), tokens)
+
+    def free(self) -> None:
+        """Let go of the token streams that built(keep=True) holds."""
+        if self._tokens is not None:
+            self._tokens.unpersist()
+
+    def hits(self, queries: DataFrame) -> DataFrame:
+        """term_hits of queries. Of an index that isn't saved, postings are made for the questions' tokens alone."""
+        asked = query_tokens(queries)
+        if self._tokens is None:
+            return term_hits(asked, self.postings, self.KEY)
+        return term_hits(asked, postings(self._tokens, self.KEY, small(asked.select("token").distinct())), self.KEY)
 
     def saved(self, path: str) -> None:
         self.postings.repartitionByRange("token", "document_id").sortWithinPartitions("token", "document_id").write.mode("overwrite").parquet(f"{path}/postings")
@@ -151,8 +176,7 @@ class Index:
         n, mean = self.lengths.agg(F.count("*"), F.avg(F.col("n_tokens").cast("double"))).first()
         if not n:
             mean = 1.0
-        hits = term_hits(query_tokens(queries), self.postings, self.KEY)
-        return top_candidates(bm25(hits, self.lengths, n, mean or 1.0, self.KEY), ["document_id", "start"], limit)
+        return top_candidates(bm25(self.hits(queries), self.lengths, n, mean or 1.0, self.KEY), ["document_id", "start"], limit)
 
 
 def summary(documents: DataFrame, by: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from spanlight.functions import columns as C
 from spanlight.functions.text import Confirmation
 from spanlight.operators import store
-from spanlight.operators.index import Index
+from spanlight.operators.index import CANDIDATES, Index, small
 
 SPAN_BONUS, MATCH_WEIGHT = 0.01, 0.1
 LIMIT, CONTEXT = 10, 120
@@ -45,13 +45,16 @@ def section_name(sections: Column, offset: Column) -> Column:
     return best["heading"]
 
 
-def confirm(candidates: DataFrame, documents: DataFrame, queries: DataFrame, settings: Confirmation = Confirmation(), context: int = CONTEXT) -> DataFrame:
+def confirm(candidates: DataFrame, documents: DataFrame, queries: DataFrame, settings: Confirmation = Confirmation(), context: int = CONTEXT, candidate_limit: int = CANDIDATES) -> DataFrame:
     """One row for each candidate whose document is there: span, text, score, section, unconfirmed, matched.
 
     candidates has query_id, document_id, version, start, end (of the section) and score; documents
     are all versions held. The version retrieved is read, the current one where it is gone.
-    Contents are joined only here, to at most the candidate cap of rows for each question.
+    Contents are joined only here, to at most the candidate cap of rows for each question; other
+    documents' go no further than the scan as long as that many ids can be sent to every task.
     """
+    wanted = small(candidates.select("document_id").distinct(), queries.count() * candidate_limit)
+    documents = documents.join(wanted, "document_id", "left_semi")
     cols = ["source_path", "content", "sections"]
     exact = documents.select("document_id", "version", *[F.col(c).alias(f"e_{c}") for c in cols])
     newest = store.current(documents).select("document_id", F.col("version").alias("now"), *[F.col(c).alias(f"n_{c}") for c in cols])
@@ -90,5 +93,5 @@ def search(queries: DataFrame, documents: DataFrame, index: Index, limit: int |
     """(results, truncation): ranked results of queries(query_id, query), and the questions whose candidates reached the cap."""
     candidates = index.candidates(queries, candidate_limit)
     truncation = candidates.where("capped").select("query_id").distinct().select("query_id", F.lit(candidate_limit).alias("limit"), F.lit("candidate retrieval").alias("stage"))
-    results = confirm(candidates.drop("rank", "capped"), documents, queries, settings, context)
+    results = confirm(candidates.drop("rank", "capped"), documents, queries, settings, context, candidate_limit)
     return ranked(relative_floor(results, settings.relative_match_floor), limit), truncation

@@ -24,7 +24,7 @@ CHANGED_FILE = "the file was changed after it was read"
 CHANGED_DOCUMENT = "the document was revised after it was indexed"
 
 
-# --- columns ----------------------------------------------------------------------------------
+# --- columns ---
 
 
 def signals(section: Column, unconfirmed: Column, matched: Column, query: Column) -> Column:
@@ -61,7 +61,7 @@ def provenance(metadata: Column) -> Column:
     return F.struct(checked.alias("layer"), producer.alias("producer"), dated.alias("observed_at"), sure.alias("confidence"))
 
 
-# --- orderings --------------------------------------------------------------------------------
+# --- orderings ---
 
 
 def order_by_score(candidates: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def selected_ordering(name: str) -> Ordering:
     return ORDERINGS[name]
 
 
-# --- greedy fill ------------------------------------------------------------------------------
+# --- greedy fill ---
 
 
 def fit(candidates: list[dict], budget: Budget, minimum: float = 0.0, redundancy: float = REDUNDANCY, truncated_at: int | None = None) -> tuple[list[dict], list[dict], int]:
@@ -221,7 +221,7 @@ def filled(ordered: DataFrame, limit: int) -> DataFrame:
     return ordered.join(sent, "query_id").withColumn("sent", F.array_contains("places", F.col("place"))).drop("places")
 
 
-# --- leads ------------------------------------------------------------------------------------
+# --- leads ---
 
 
 def leads(packages: DataFrame, documents: DataFrame, limit: int = 1, only_when_empty: bool = True) -> DataFrame:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from spanlight.functions import columns as C
 
+#: Versions in a run of corpus_state.
+RUN = 10_000
+
 
 def identified(texts: DataFrame, path_col: str = "source_path", text_col: str = "content") -> DataFrame:
     """All columns, document_id (of the path alone) and version (of the content alone)."""
@@ -67,10 +74,22 @@ def forget(rows: DataFrame, documents: DataFrame) -> DataFrame:
 def corpus_state(versions: DataFrame) -> DataFrame:
     """One row: the hash of the sorted version strings, one a line.
 
-    The digest is of one string, so one task must hold the versions (71 bytes each), nothing else.
+    The digest is of one string that grows with the corpus, so it is folded: versions are range-sorted,
+    each task sends runs of RUN lines, and the driver hashes run after run in order, holding one at a time.
     """
-    held = versions.agg(F.array_join(F.array_sort(F.collect_list("version")), "\n").alias("all"))
-    return held.select(F.concat(F.lit("sha256:"), F.sha2(F.col("all").cast("binary"), 256)).alias("corpus_state"))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, RUN):
+                lines = "\n".join(b.column(0).slice(at, RUN).to_pylist()) + "\n"
+                yield pa.RecordBatch.from_arrays([pa.array([lines.encode()])], names=["lines"])
+
+    digest, last = hashlib.sha256(), b""
+    for r in versions.select("version").where("version is not null").orderBy("version").mapInArrow(runs, "lines binary").toLocalIterator():
+        digest.update(last)
+        digest.update(r.lines[:-1])
+        last = b"\n"
+    return versions.sparkSession.range(1).select(F.lit(f"sha256:{digest.hexdigest()}").alias("corpus_state"))
 
 
 def counts(versions: DataFrame, root_col: str = "corpus_root") -> DataFrame:

@@ -71,7 +71,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.array_join(words, " ").alias("query"))
 
 
-# --- identity and store -----------------------------------------------------------------------
+# --- identity and store ---
 
 
 @_query("x AS (SELECT 1) SELECT doc_id, source_path, document_id, version, length(content)::INT AS span_end, version AS text_hash FROM corpus")
@@ -137,7 +137,7 @@ def credential_names(spark, sf_dir):
     return docs.select(F.concat("p", F.lit("."), "s").alias("name"), folder.is_credential(F.col("s")).alias("refused"))
 
 
-# --- parsing, tiles, terms --------------------------------------------------------------------
+# --- parsing, tiles, terms ---
 
 
 @_query("x AS (SELECT 1) SELECT document_id, len(regexp_extract_all(content, '[^\\n]*[^\\s][^\\n]*(?:\\n[^\\n]*[^\\s][^\\n]*)*'))::INT AS paragraphs FROM corpus")
@@ -178,9 +178,16 @@ def section_at_offset(spark, sf_dir):
 _TOKENS = "tok AS (SELECT document_id, generate_subscripts(list, 1) - 1 AS pos, unnest(list) AS token FROM (SELECT document_id, regexp_extract_all(folded, '[\\p{L}\\p{N}]+') AS list FROM corpus)), "
 
 
+_kept: list[index.Index] = []
+
+
 def _index(spark, sf_dir) -> index.Index:
+    """An index of all documents; its token streams are kept until the next one is made."""
     docs = _corpus(spark, sf_dir)
-    return index.Index.built(docs.select("document_id", "version", F.lit(0).alias("start"), F.length("content").alias("end"), "content"), keep=True)
+    while _kept:
+        _kept.pop().free()
+    _kept.append(index.Index.built(docs.select("document_id", "version", F.lit(0).alias("start"), F.length("content").alias("end"), "content"), keep=True))
+    return _kept[0]
 
 
 @_query(_TOKENS + "x AS (SELECT 1) SELECT token, count(DISTINCT document_id) AS df, count(*) AS tf FROM tok GROUP BY token")
@@ -215,8 +222,7 @@ def _rounded(scored: DataFrame) -> DataFrame:
 
 def _top(spark, sf_dir, idx: index.Index, queries: DataFrame) -> DataFrame:
     n, mean = idx.lengths.agg(F.count("*"), F.avg(F.col("n_tokens").cast("double"))).first()
-    hits = index.term_hits(index.query_tokens(queries), idx.postings, idx.KEY)
-    return index.top_candidates(_rounded(index.bm25(hits, idx.lengths, n, mean, idx.KEY)), ["document_id", "start"])
+    return index.top_candidates(_rounded(index.bm25(idx.hits(queries), idx.lengths, n, mean, idx.KEY)), ["document_id", "start"])
 
 
 @_query(_BM25 + "x AS (SELECT 1) SELECT query_id, document_id, rank::INT AS rank, round(score, 6) AS score FROM top")
@@ -240,7 +246,7 @@ def truncation(spark, sf_dir):
     return top.where("capped").select("query_id").distinct().select("query_id", F.lit(50).alias("limit"), F.lit("candidate retrieval").alias("stage"))
 
 
-# --- questions and confirmation ---------------------------------------------------------------
+# --- questions and confirmation ---
 
 _NEEDLES = """qw AS (SELECT query_id, query, fold, list_filter(list_transform(string_split_regex(trim(regexp_replace(regexp_replace(fold, '^[\\p{P}\\p{S}]+', ''), '[\\p{P}\\p{S}]+$', '')), '\\s+'), lambda w: regexp_replace(regexp_replace(w, '^[\\p{P}\\p{S}]+', ''), '[\\p{P}\\p{S}]+$', '')), lambda w: w <> '') AS w FROM asked),
 nd AS (SELECT query_id, array_to_string(list_slice(w, i, i + k - 1), ' ') AS needle, min(1000 * (64 - k) + i) AS ord FROM qw, generate_series(1, 64) a(i), generate_series(1, 64) b(k)
@@ -319,7 +325,7 @@ def widen_sentence(spark, sf_dir):
     return docs.withColumn("w", C.widened(F.col("content"), F.col("a"), F.col("b"), 120)).select("document_id", "w.start", "w.end")
 
 
-# --- costs, near duplicates, ordering, fill ---------------------------------------------------
+# --- costs, near duplicates, ordering, fill ---
 
 
 @_query("""k AS (SELECT document_id, content, length(content) AS n,
@@ -446,7 +452,7 @@ def leads(spark, sf_dir):
     return select.leads(p, docs, 3).select("query_id", "rank", "document_id", "score", F.sha2("text", 256).alias("text_sha256"))
 
 
-# --- anchors, verification, ledger ------------------------------------------------------------
+# --- anchors, verification, ledger ---
 
 
 @_query("""hits AS (SELECT item_id::VARCHAR AS quotation_id, document_id, source_path, content, text, i - 1 AS start FROM (SELECT b.item_id, b.text, c.*, list_filter(generate_series(1, length(c.content)), lambda i: substr(c.content, i, length(b.text)) = b.text) AS places FROM benchmark b JOIN corpus c ON contains(c.content, b.text) WHERE b.text <> ''), LATERAL (SELECT unnest(places) AS i)),
@@ -534,7 +540,7 @@ def ledger_usage(spark, sf_dir):
     return ledger.usage(entries, items, omissions, "2026-01-05").withColumn("cited_share", F.round("cited_share", 9))
 
 
-# --- evaluation -------------------------------------------------------------------------------
+# --- evaluation ---
 
 
 def _facts(spark, sf_dir):
