@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanlight.errors import UsageError
 from spanlight.functions import text as T
 
 #: Characters that index tokens consist of.
@@ -107,8 +109,13 @@ def shingle_set(collapsed: Column, size: int = 5) -> Column:
     return F.when(F.length(collapsed) >= size, F.array_distinct(windows)).otherwise(few)
 
 
-def content_hash(text: Column) -> Column:
-    return F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))
+def content_hash(text: Column, algorithm: str = "sha256") -> Column:
+    """algorithm:hex of the text in UTF-8; null for null. blake2b, which Spark lacks, goes through Arrow."""
+    if algorithm in ("sha256", "sha512"):
+        return F.concat(F.lit(f"{algorithm}:"), F.sha2(text.cast("binary"), int(algorithm[3:])))
+    if algorithm != "blake2b":
+        raise UsageError(f"a hash is sha256, sha512 or blake2b: {algorithm!r}")
+    return F.concat(F.lit("blake2b:"), _string(lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass")).hexdigest())(text))
 
 
 def document_id(source_path: Column) -> Column:

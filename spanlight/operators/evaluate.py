@@ -99,6 +99,41 @@ def breaches(summary: dict) -> list[str]:
     return out
 
 
+#: Kinds of traps that hold the answer itself: citing one is citing the answer, and is only reported.
+COPIES = ("near_duplicate",)
+
+
+def answer_outcomes(answers: DataFrame, claims: DataFrame, locations: DataFrame, facts: DataFrame) -> DataFrame:
+    """What became of each case's answer, from where its quotations were found.
+
+    answers has case_id and readable; claims case_id, claim_no, citations and support; locations
+    case_id, source_path, start and end of each quotation found; facts case_id, fact_id, document,
+    start, end, must_include and trap_kind (null for facts that are no trap). A quotation is of every
+    fact of its document that it overlaps, for a part of a fact is that fact. Out come claims, grounded
+    (some claim, and all supported), on_target (a required fact cited), abstained (claims, and none
+    cites), captured (an adversary cited and no required fact), disagreeing (both), and the sorted
+    fact_ids answers, adversaries, copies.
+    """
+    l = locations.select(F.col("case_id").alias("l_case"), "source_path", F.col("start").alias("l_start"), F.col("end").alias("l_end"))
+    met = facts.join(l, (F.col("case_id") == F.col("l_case")) & same_document(F.col("source_path"), F.col("document")) & (F.col("start") < F.col("l_end")) & (F.col("l_start") < F.col("end")), "left_semi")
+    copy = F.coalesce(F.col("trap_kind").isin(*COPIES), F.lit(False))
+    ids = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("fact_id"))))
+    cited = met.groupBy("case_id").agg(
+        ids(F.col("trap_kind").isNull() & F.col("must_include")).alias("answers"), ids(F.col("trap_kind").isNotNull() & ~copy).alias("adversaries"), ids(copy).alias("copies")
+    )
+    said = claims.groupBy("case_id").agg(F.count("*").alias("claims"), F.every(F.col("support") == "supported").alias("grounded"), F.every(F.coalesce(F.size("citations"), F.lit(0)) <= 0).alias("abstained"))
+    none = F.array().cast("array<string>")
+    out = answers.select("case_id", "readable").join(said, "case_id", "left").join(cited, "case_id", "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("grounded", "abstained")} | {c: F.coalesce(c, none) for c in ("answers", "adversaries", "copies")} | {"claims": F.coalesce("claims", F.lit(0))})
+    target, adverse = F.size("answers") > 0, F.size("adversaries") > 0
+    return out.withColumns({"on_target": target, "captured": adverse & ~target, "disagreeing": adverse & target})
+
+
+def grounded_by(outcomes: DataFrame, by: str = "language") -> DataFrame:
+    """(by, grounded, total) over readable answers."""
+    return outcomes.where("readable").groupBy(by).agg(F.count(F.when(F.col("grounded"), 1)).alias("grounded"), F.count("*").alias("total"))
+
+
 def answers_scored(answers: DataFrame) -> DataFrame:
     """One row of rates over answers(case_id, readable, grounded, on_target, captured, abstained); unreadable ones are in no base but their own."""
     n = lambda c: F.count(F.when(F.col("readable") & F.col(c), 1))

@@ -52,3 +52,11 @@ def usage(entries: DataFrame, items: DataFrame, omissions: DataFrame, since: str
     full = omissions.where("rule = 'budget_exhausted'").join(some.select("package_id"), "package_id").agg(F.count("*").alias("budget_exhausted"))
     one = head.crossJoin(done).crossJoin(full)  # a row each
     return one.withColumn("cited_share", F.col("items_cited").cast("double") / F.nullif(F.col("items_sent"), F.lit(0)))
+
+
+def forgotten(tables: tuple[DataFrame, DataFrame, DataFrame], packages: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries, items, omissions) without packages(package_id), or empty without that: history goes and nothing else."""
+    if packages is None:
+        return tuple(t.limit(0) for t in tables)  # type: ignore[return-value]
+    gone = packages.select("package_id").distinct()
+    return tuple(t.join(gone, "package_id", "left_anti").select(t.columns) for t in tables)  # type: ignore[return-value]

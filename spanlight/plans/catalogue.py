@@ -672,3 +672,6 @@ def signals(spark, sf_dir):
     section = F.when(F.col("i") % 2 == 0, "heading").otherwise("")
     made = select.signals(section, F.col("i") % 3 == 0, F.floor(F.col("i") * F.length("query") / 4).cast("int"), F.col("query"))
     return q.select("query_id", "i", F.regexp_replace(F.array_join(made, ","), r":[0-9.]+", "").alias("signals"))
+
+
+from spanlight.plans import inventory  # noqa: E402, F401  (registers further queries with the names above)

@@ -62,6 +62,19 @@ def first_fit(documents: DataFrame, limit: int) -> DataFrame:
     return select.filled(rows, limit).where("sent")
 
 
+def no_confirm(candidates: DataFrame, documents: DataFrame, limit: int) -> DataFrame:
+    """Baseline: the documents that the index proposes for each question, whole and in rank order, while they fit; nothing is confirmed.
+
+    candidates has query_id, document_id and rank; documents document_id and content.
+    """
+    from pyspark.sql import Window as W
+
+    first = candidates.groupBy("query_id", "document_id").agg(F.min("rank").alias("rank"))  # a document of several sections counts once
+    w = W.partitionBy("query_id").orderBy("rank", "document_id")
+    rows = first.join(documents.select("document_id", F.length("content").alias("cost")), "document_id").withColumn("place", F.row_number().over(w) - 1)
+    return select.filled(rows, limit).where("sent")
+
+
 def fitted_weights(counts: DataFrame, label: str = "tokens") -> dict[str, float]:
     """Least-squares weights of character classes for known token counts (a column for each class, and `label`)."""
     import numpy as np

@@ -123,6 +123,32 @@ class Workspace:
         parts = [self.spark.read.parquet(f"{self.ledger_path}/{n}").dropDuplicates(["package_id"] if n == "entries" else None) for n in ("entries", "items", "omissions")]
         return ledger.usage(*parts, since).first().asDict()
 
+    def forget_ledger(self) -> int:
+        """Deletes the whole ledger; returns how many packages it had. Costs history and nothing else."""
+        try:
+            n = self.spark.read.parquet(f"{self.ledger_path}/entries").select("package_id").distinct().count()
+        except Exception as e:  # nothing was opened here
+            if "PATH_NOT_FOUND" in str(e):
+                return 0
+            raise
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.ledger_path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.spark.catalog.clearCache()
+        return n
+
+    @classmethod
+    def summaries(cls, spark: SparkSession, settings: Settings) -> list[dict[str, Any]]:
+        """One row for each named index, in order, whether it opens or not: a broken one has only the kind of its error."""
+        out = []
+        for name in settings.named_indexes():
+            try:
+                made = Index.opened(spark, settings.named_indexes()[name])
+                now = made.lengths.agg(F.countDistinct("document_id"), F.count("*")).first()
+                out.append({"index": name, "documents": now[0], "sections": now[1], "unavailable": None})
+            except Exception as e:
+                out.append({"index": name, "documents": None, "sections": None, "unavailable": type(e).__name__})
+        return out
+
     def doctor(self, root: str | None = None) -> dict[str, Any]:
         """Counts, revised documents, drifted files and formats."""
         versions = self.store.versions()
