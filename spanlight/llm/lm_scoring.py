@@ -19,6 +19,7 @@ import xxhash
 import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from spanlight.llm.common import held_out, materialize, table, unused
 
@@ -26,6 +27,8 @@ from spanlight.llm.common import held_out, materialize, table, unused
 DICT_BYTES, WINDOW, LEVEL = 64 * 1024, 2048, 3
 #: Code points at which a word (or a text without blanks) is cut; least words of a sentence that counts as repeated.
 WORD_CHARS, SENTENCE_WORDS = 64, 8
+#: Parts of the texts that have a sentence.
+SALTS = 64
 #: Classes of gain in an octave, and of words of about the same gain.
 STEPS, SHARES = 8, 16
 
@@ -120,8 +123,11 @@ def repeated(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     each = docs.where(F.length(f"`{text_col}`") > 0).select(F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(run, "key bigint, sentence bigint")
     by_text = materialize(each.groupBy("sentence", "key").agg(F.count("*").alias("n")), "sentences")  # copies of a text are one row
-    often = by_text.groupBy("sentence").agg(F.sum("n").alias("rows")).where("rows > 1").select("sentence")
-    return by_text.join(often, "sentence", "left_semi").groupBy("key").agg(F.array_sort(F.collect_list("sentence")).alias("found"))
+    # A sentence of many texts is counted and looked up in SALTS parts, whose sums meet in one small window.
+    dealt = by_text.withColumn("part", F.pmod("key", F.lit(SALTS)))
+    some = dealt.groupBy("sentence", "part").agg(F.sum("n").alias("n"))
+    often = some.select("sentence", "part", F.sum("n").over(W.partitionBy("sentence")).alias("rows")).where("rows > 1").select("sentence", "part")
+    return dealt.join(often, ["sentence", "part"], "left_semi").groupBy("key").agg(F.array_sort(F.collect_list("sentence")).alias("found"))
 
 
 def scored(docs: DataFrame, general: bytes, domain: bytes, text_col: str = "text", out_col: str = "lm", known: DataFrame | None = None) -> DataFrame:
