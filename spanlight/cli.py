@@ -41,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
     verb("verify", (("package",), {}), (("answer",), {}))
     verb("ask", (("query",), {}), (("--model",), {"required": True}), (("--url",), {"default": "http://localhost:11434"}), (("--budget",), {}))
     verb("forget", (("paths",), {"nargs": "+"}))
-    verb("ledger", (("--since",), {}))
+    verb("ledger", (("--since",), {}), (("--forget",), {"action": "store_true", "help": "delete the whole ledger"}))
     verb("errors")
     verb("indexes")
     verb("eval", (("cases",), {}), (("--tier",), {}), (("--split",), {}))
@@ -117,6 +117,9 @@ def run(argv: list[str]) -> int:
         n = ws.forget(a.paths)
         print(n)
         return int(not n)
+    if a.verb == "ledger" and a.forget:
+        print(ws.forget_ledger())
+        return 0
     if a.verb == "ledger":
         print(json.dumps(ws.usage(a.since)))
         return 0

@@ -119,11 +119,28 @@ def top_candidates(scored: DataFrame, order: list[str], limit: int = CANDIDATES)
     return best.withColumn("capped", F.count("*").over(W.partitionBy("query_id")) >= limit)
 
 
+#: Revisions of a saved index that are kept beside it.
+MOST_DELTAS = 16
+
+
+def _fs(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _deltas(spark: SparkSession, path: str) -> list[str]:
+    """Finished revisions of a saved index, oldest first."""
+    fs, p = _fs(spark, f"{path}/deltas")
+    names = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+    return [f"{path}/deltas/{n}" for n in names if fs.exists(_fs(spark, f"{path}/deltas/{n}/gone/_SUCCESS")[1])]
+
+
 class Index:
     """Postings, section lengths and statistics of a corpus, as tables.
 
     built(): from sections; saved()/opened(): as Parquet, postings sorted by token, so that a
-    question's few tokens prune row groups; without(): an index without some documents.
+    question's few tokens prune row groups; revised(): a saved index with some documents anew;
+    without(): an index without some documents.
     """
 
     KEY = ["document_id", "version", "start", "end"]
@@ -151,10 +168,17 @@ class Index:
             return term_hits(asked, self.postings, self.KEY)
         return term_hits(asked, postings(self._tokens, self.KEY, small(asked.select("token").distinct())), self.KEY)
 
-    def saved(self, path: str) -> None:
+    def _written(self, path: str) -> None:
         self.postings.repartitionByRange("token", "document_id").sortWithinPartitions("token", "document_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+
+    def saved(self, path: str) -> None:
+        """The whole index below path, in place of what was there."""
         spark = self.postings.sparkSession
+        deltas = _deltas(spark, path)
+        self._written(path)
+        for d in deltas:  # what they held is in the whole index now
+            _fs(spark, d)[0].delete(_fs(spark, d)[1], True)
         spark.createDataFrame([(json.dumps({"identity": IDENTITY}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/identity")
 
     @classmethod
@@ -162,7 +186,29 @@ class Index:
         made_by = json.loads(spark.read.text(f"{path}/identity").first()[0])["identity"]
         if made_by != IDENTITY:
             raise StorageError(f"the index was made by {made_by}; this is {IDENTITY}: build it anew")
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+        out = cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+        for d in _deltas(spark, path):
+            out = out.without(spark.read.parquet(f"{d}/gone"))._and(cls(spark.read.parquet(f"{d}/postings"), spark.read.parquet(f"{d}/lengths")))
+        return out
+
+    def _and(self, other: Index) -> Index:
+        return Index(self.postings.unionByName(other.postings), self.lengths.unionByName(other.lengths))
+
+    @classmethod
+    def revised(cls, spark: SparkSession, path: str, documents: DataFrame, sections: DataFrame) -> None:
+        """Replace documents(document_id) in a saved index by sections of theirs (none: they go). Only these are tokenized and written.
+
+        Each revision is a delta beside the whole index; MOST_DELTAS of them are merged into it.
+        """
+        deltas = _deltas(spark, path)
+        here = f"{path}/deltas/d{len(deltas):06d}"
+        cls.built(sections)._written(here)
+        documents.select("document_id").distinct().write.mode("overwrite").parquet(f"{here}/gone")  # last: a delta counts from here on
+        if len(deltas) + 1 >= MOST_DELTAS:
+            merged = f"{path}/merged"
+            cls.opened(spark, path)._written(merged)
+            cls(spark.read.parquet(f"{merged}/postings"), spark.read.parquet(f"{merged}/lengths")).saved(path)
+            _fs(spark, merged)[0].delete(_fs(spark, merged)[1], True)
 
     def without(self, documents: DataFrame) -> Index:
         gone = documents.select("document_id").distinct()

@@ -77,19 +77,41 @@ def _hidden(spark: SparkSession, root: str) -> list[str]:
     return out
 
 
+def _bytes_of(spark: SparkSession, path: str) -> bytes:
+    """A file's bytes by the driver, from any store."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 def walk(spark: SparkSession, root: str, rules: IgnoreRules = IgnoreRules()) -> tuple[DataFrame, DataFrame]:
     """(files, skipped): (source_path, length, bytes) of what is taken, and (source_path, reason, rule) of what isn't.
 
     Listed and read by Spark, so the folder may be in any store. Spark's readers pass over names that
-    start with a dot or underscore; such files are reported as skipped. Files below SKIPPED_FOLDERS
-    aren't reported.
+    start with a dot or underscore: files in such folders are read by their paths, and files that
+    have such a name themselves, a few in any folder, one by one by the driver. Credential stores are
+    never read. Files below SKIPPED_FOLDERS aren't reported.
     """
+    hidden = _hidden(spark, root)
+    here = root.rstrip("/")
+    named = [p for p in hidden if p.rsplit("/", 1)[-1].startswith((".", "_"))]
+    below = sorted(set(hidden) - set(named))
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if below:
+        raw = raw.unionByName(spark.read.format("binaryFile").load([f"{here}/{p}" for p in below]))
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     full = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/") + "/"
     plain = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
     listed = raw.select(F.substr(plain, F.lit(len(full) + 1)).alias("source_path"), "length", F.col("content").alias("bytes"))
-    hidden = "(?:^|/)(?:" + "|".join(map(glob_regex, SKIPPED_FOLDERS)) + ")/"
+    secret = re.compile("|".join(map(glob_regex, CREDENTIALS)))
+    own = [(p, None) if secret.fullmatch(p.rsplit("/", 1)[-1].lower()) or rules.matched_by(p) is not None else (p, _bytes_of(spark, f"{here}/{p}")) for p in named]
+    if own:
+        listed = listed.unionByName(spark.createDataFrame([(p, len(b or b""), b) for p, b in own], "source_path string, length bigint, bytes binary"))
+    skipped_folders = "(?:^|/)(?:" + "|".join(map(glob_regex, SKIPPED_FOLDERS)) + ")/"
 
     @F.pandas_udf("string")
     def ignored(paths: pd.Series) -> pd.Series:
@@ -98,12 +120,8 @@ def walk(spark: SparkSession, root: str, rules: IgnoreRules = IgnoreRules()) ->
     name = F.element_at(F.split("source_path", "/"), -1)
     rule = F.when(is_credential(name), name).otherwise(ignored("source_path") if rules.rules else F.lit(None).cast("string"))
     reason = F.when(is_credential(name), "looks like a store of credentials").when(F.col("rule").isNotNull(), "excluded by an ignore rule")
-    judged = listed.where(~F.col("source_path").rlike(hidden)).withColumn("rule", rule).withColumn("reason", reason)
-    dotted = spark.createDataFrame([(p, p.rsplit("/", 1)[-1]) for p in _hidden(spark, root)], "source_path string, name string")
-    secret = is_credential(F.col("name"))
-    hidden_ones = dotted.select("source_path", F.when(secret, "looks like a store of credentials").otherwise("hidden").alias("reason"), F.when(secret, F.col("name")).alias("rule"))
-    skipped = judged.where("reason is not null").select("source_path", "reason", "rule").unionByName(hidden_ones)
-    return judged.where("reason is null").select("source_path", "length", "bytes"), skipped
+    judged = listed.where(~F.col("source_path").rlike(skipped_folders)).withColumn("rule", rule).withColumn("reason", reason)
+    return judged.where("reason is null").select("source_path", "length", "bytes"), judged.where("reason is not null").select("source_path", "reason", "rule")
 
 
 def read_text(raw: bytes) -> str:

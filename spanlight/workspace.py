@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanlight.config import Settings
 from spanlight.errors import StorageError, UsageError
+from spanlight.functions import columns as C
 from spanlight.model import Budget
 from spanlight.operators import anchors, ledger, retrieve, select, verify
 from spanlight.operators.index import Index, sections_of
@@ -31,10 +32,15 @@ class Workspace:
     # --- corpus ---
 
     def ingest(self, root: str, rules: folder.IgnoreRules = folder.IgnoreRules()) -> DataFrame:
-        """Statuses of a folder's files; the index is built anew of what is current if anything changed."""
+        """Statuses of a folder's files; the index learns what was added or revised, and is built whole the first time."""
+        first = not self.store.parts()
         status = ingest_folder(self.spark, root, self.store, len(self.store.parts()), rules).persist()
-        if not status.where("status in ('added', 'revised')").isEmpty():
-            self.reindex()
+        new = status.where("status in ('added', 'revised')").select(C.document_id(F.col("source_path")).alias("document_id"))
+        if not new.isEmpty():
+            if first:
+                self.reindex()
+            else:
+                Index.revised(self.spark, self.index_path, new, sections_of(self.store.current().join(new, "document_id", "left_semi")))
         return status
 
     def reindex(self) -> None:
@@ -51,7 +57,7 @@ class Workspace:
         n = gone.count()
         if n:
             self.store.forget(gone)
-            self.reindex()
+            Index.revised(self.spark, self.index_path, gone, sections_of(self.store.versions().limit(0)))
         return n
 
     # --- questions ---

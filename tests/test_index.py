@@ -90,6 +90,23 @@ def test_saved_index_and_identity(spark, tmp_path):
         I.Index.opened(spark, str(tmp_path / "i"))
 
 
+def test_revised_index_equals_one_built_anew(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "MOST_DELTAS", 3)
+    path = str(tmp_path / "inc")
+    notes = dict(NOTES)
+    I.Index.built(I.sections_of(corpus(spark, notes))).saved(path)
+    asked = spark.createDataFrame([("a", "テントの重量は?"), ("b", "tent weighs new")], "query_id string, query string")
+    steps = [{"en.md": "A new text: the tent weighs less."}, {"more.md": "Another tent."}, {"en.md": None}, {"more.md": "weighs"}]
+    for n, step in enumerate(steps):
+        notes = {k: v for k, v in (notes | step).items() if v is not None}
+        docs = corpus(spark, notes)
+        ids = corpus(spark, {k: v or "x" for k, v in step.items()}).select("document_id")
+        I.Index.revised(spark, path, ids, I.sections_of(docs.join(ids, "document_id", "left_semi")))
+        opened, whole = I.Index.opened(spark, path), I.Index.built(I.sections_of(docs))
+        assert len(I._deltas(spark, path)) == (n + 1 if n < 2 else n - 2)
+        assert sorted(opened.candidates(asked).collect()) == sorted(whole.candidates(asked).collect()) and opened.count() == whole.count()
+
+
 def test_search(spark):
     docs = corpus(spark)
     idx = I.Index.built(I.sections_of(docs))

@@ -87,6 +87,24 @@ def test_folder_ingest(spark, tmp_path):
     assert st.versions().count() == 0
 
 
+def test_hidden_files_are_read_and_credentials_are_not(spark, tmp_path):
+    for name, text in {"_x.md": "one", ".h/y.md": "two", "_d/_z.txt": "three", ".env": "SECRET", ".h/id_rsa": "KEY", ".git/c.md": "no", "_skip.log": "log", "a.md": "four"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    files, skipped = folder.walk(spark, str(tmp_path), folder.IgnoreRules.parse("*.log"))
+    assert {r.source_path: bytes(r.bytes).decode() for r in files.collect()} == {"_x.md": "one", ".h/y.md": "two", "_d/_z.txt": "three", "a.md": "four"}
+    assert {r.source_path for r in skipped.collect()} == {".env", ".h/id_rsa", "_skip.log"}
+
+
+def test_hashes(spark):
+    import hashlib
+
+    from spanlight.functions import columns as C
+
+    r = spark.createDataFrame([("é",), (None,)], "t string").select(*[C.content_hash(F.col("t"), a).alias(a) for a in ("sha256", "sha512", "blake2b")]).collect()
+    assert r[0].asDict() == {a: f"{a}:{hashlib.new(a, 'é'.encode()).hexdigest()}" for a in ("sha256", "sha512", "blake2b")} and list(r[1]) == [None] * 3
+
+
 def test_reverting_leaves_the_middle_version_current(spark, tmp_path):
     st = Store(spark, str(tmp_path / "s"))
     for seq, text in enumerate("ABA"):

@@ -58,6 +58,14 @@ def test_workspace_and_server(spark, tmp_path):
     assert ws.forget(["tarp.txt"]) == 1 and ws.search("tarp")[0] == [] and ws.forget(["tarp.txt"]) == 0
     with pytest.raises(UsageError):
         ws.search(" ")
+    assert ws.forget_ledger() == 2 and ws.forget_ledger() == 0
+    (notes / "_new.md").write_text("A hidden tarp.")
+    ws.ingest(str(notes))  # a second ingest revises the index
+    assert {r["source_path"] for r in ws.search("tarp")[0]} == {"_new.md", "tarp.txt"}
+    both = config.load(env={}, flags={"store": f"{tmp_path}/store", "index": f"{tmp_path}/index", "indexes": f"default={tmp_path}/index,other={tmp_path}/nowhere"})
+    rows = {r["index"]: r for r in Workspace.summaries(spark, both)}
+    assert rows["default"]["documents"] == 3 and rows["default"]["unavailable"] is None
+    assert rows["other"]["documents"] is None and rows["other"]["unavailable"] == "AnalysisException"
     with pytest.raises(UsageError):
         Workspace(spark, s, "other")
 
