@@ -106,6 +106,58 @@ def test_languages(spark):
     assert language_id.fit(relabelled) == language_id.fit(df)  # held-out labels teach nothing
 
 
+def test_languages_equal_a_plain_version(spark):
+    """Prototypes, predictions and scores recomputed letter by letter from the definition."""
+    import math
+    from collections import Counter
+
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def letter(c):
+        out = []
+        for i in range(language_id.DIMS // 64):
+            word = mixed((ord(c) * (language_id.DIMS // 64) + 1 + (language_id.SEED << 40) + i) * 0x9E3779B97F4A7C15 & mask)
+            for byte in word.to_bytes(8, "little"):
+                out += [2 * (byte >> (7 - k) & 1) - 1 for k in range(8)]
+        return np.array(out)
+
+    blank = letter("\0")
+
+    def vector(text):
+        t = "".join(c.lower()[:1] if c.isalpha() else "\0" for c in text)
+        t = re.sub("\0+", "\0", f"\0{t}\0")
+        n = Counter(g for g in (t[i : i + 3] for i in range(len(t) - 2)) if g.strip("\0"))
+        of = lambda c: blank if c == "\0" else letter(c)
+        return sum((math.sqrt(k) * np.roll(of(g[0]), 2) * np.roll(of(g[1]), 1) * of(g[2]) for g, k in n.items()), np.zeros(language_id.DIMS))
+
+    random.seed(17)
+    kinds = {"de": "der die das und ß für", "ja": "日本語 の 文字 ひらがな", "ru": "это русский текст", "x": "zu qe wi"}
+    rows = [(i, " ".join(random.choices(kinds[k].split(), k=random.randint(1, 6))) + random.choice(["", "!", " 7"]), k if i % 11 else None) for i, k in ((i, sorted(kinds)[i % 4]) for i in range(90))]
+    rows += [(900, "", None), (901, None, "x"), (902, "77 🙂", "ru")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learnt = {r.doc_id for r in df.where(~held_out(F.col("doc_id"))).collect()}
+    sums = {}
+    for i, t, lang in rows:
+        if i in learnt and lang is not None and t is not None:
+            sums[lang] = sums.get(lang, 0) + vector(t)
+    prototypes = {k: v / np.linalg.norm(v) for k, v in sorted(sums.items())}
+    got = {r.doc_id: r.language for r in language_id.identified(df, language_id.fit(df)).collect()}
+    for i, t, _ in rows:
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i].lang, got[i].score) == ("und", 0.0)
+            continue
+        v = vector(t)
+        cos = {k: p @ v / np.linalg.norm(v) for k, p in prototypes.items()}
+        best = max(cos.values())
+        assert cos[got[i].lang] > best - 1e-5
+        assert abs(got[i].score - 1 / sum(math.exp(language_id.SHARPNESS * (c - cos[got[i].lang])) for c in cos.values())) < 1e-3
+
+
 def test_many_languages(spark, monkeypatch):
     _, df = lingual(spark)
     whole = language_id.fit(df)
@@ -255,6 +307,46 @@ def test_words_near_an_entity_count_whatever_their_length(spark):
     assert {t for e, t in got if e.startswith("phone")} == {"here"}
 
 
+def test_disclosing_terms_equal_a_plain_count(spark):
+    """All terms with their figures, recomputed text by text from the definitions."""
+    import math
+    from collections import defaultdict
+
+    random.seed(31)
+    names = ["Ada", "Bjørn", "李明", "Zoe", "of", "Quux"]
+    mails = [f"u{i}@x.org" for i in range(4)]
+    texts = [f"text {i} about {i % 9} things w{i % 40}" for i in range(1500)]
+    for k, (n, m) in enumerate([(0, 0), (1, 1), (2, 2), (3, 3), (4, 0), (5, 1)]):
+        texts += [f"a{i} says {names[n]} writes to {mails[m].upper() if i % 2 else mails[m]} on {i}" for i in range(2 + 2 * k)]
+    texts += [f"{names[3]} alone {i}" for i in range(9)] + texts[-5:] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    distinct = {t or "" for t in texts}
+    word = re.compile(r"[^\W_]+")
+    near, has = defaultdict(set), defaultdict(set)
+    for t in distinct:
+        for w in {w.lower() for w in word.findall(t)}:
+            has[w].add(t)
+        tokens = [(m[0], "@" in m[0]) for m in re.finditer(PLAIN["email"].replace("(", "(?:") + r"|[^\W_]+", t)]
+        for i, (m, entity) in enumerate(tokens):
+            if entity:
+                for w, other in tokens[max(0, i - 5) : i + 6]:
+                    if not other and len(w.encode()) >= 3:
+                        near["email:" + m.lower(), w.lower()].add(t)
+    with_entity = defaultdict(set)
+    for (e, _), ts in near.items():
+        with_entity[e] |= ts
+    least, want = math.log2(len(near) / pii.MOST_CHANCE), {}
+    for (e, w), ts in near.items():
+        k, n, share = len(ts) - 1, max(len(has[w]), len(ts), 2) - 1, len(with_entity[e]) / len(distinct)
+        x = k / n
+        bits = 0.0 if k <= 0 or x <= share else k * math.log2(x / share) + ((n - k) * (math.log2(1 - x) - math.log2(1 - share)) if k < n else 0)
+        p = len(ts) / len(has[w])
+        if len(ts) > 1 and p >= pii.LEAST_PROBABILITY and math.log2(p / share) >= pii.LEAST_BITS and bits >= least:
+            want[w, e] = (len(ts), len(has[w]))
+    got = {(r.term, r.entity): (r.together, r.texts) for r in pii.disclosing_terms(df).collect()}
+    assert got == want and {w for w, _ in want} >= {"李明", "quux"} and "zoe" not in {w for w, _ in want}
+
+
 def test_sanitised_texts_equal_a_plain_scan(spark):
     random.seed(13)
     rows = [("x" * 50 + "é🙂", [(random.choice("ab"), s, s + random.randint(1, 6)) for s in random.choices(range(46), k=k)]) for k in (0, 1, 2, 3, 5, 9, 20) for _ in range(10)]
