@@ -203,6 +203,17 @@ def _turns(spark, sf_dir):
     return rows.select("conv_id", (F.col("turn") * 2 + F.col("v")).cast("bigint").alias("turn"), made.alias("text"))
 
 
+_CLASSES = _FLAT.replace("sh AS (", "cl AS (SELECT id, min(id) OVER (PARTITION BY t) AS class_id FROM fl), rp AS (SELECT id, t FROM fl WHERE id IN (SELECT class_id FROM cl)),\nsh AS (", 1).replace("FROM fl, LATERAL", "FROM rp, LATERAL")
+
+
+@_query(_CLASSES + """z AS (SELECT a, b FROM pr JOIN sz p ON p.id = a JOIN sz q ON q.id = b WHERE k::DOUBLE / least(p.n, q.n) >= 0.75), n AS (SELECT id, count(*) AS n_links FROM (SELECT a AS id FROM z UNION ALL SELECT b FROM z) GROUP BY id)
+SELECT cl.id, cl.class_id, coalesce(n.n_links, 0) AS n_links FROM cl LEFT JOIN n ON n.id = cl.class_id""")
+def shingle_classes(spark, sf_dir):
+    """Every turn with its class of equal texts and the number of classes that one is similar to."""
+    rows = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return redundancy.class_links(rows, "id", "text")
+
+
 _SAME = """dt AS (SELECT conv_id, 2 * turn + v AS turn, CASE WHEN v = 0 THEN coalesce(text, '') WHEN turn % 2 = 0 THEN coalesce(text, '') || ' again' ELSE reverse(coalesce(text, '')) END AS text FROM conversations, (SELECT unnest([0, 1]) AS v) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 """ + _FLAT.replace("FROM conversations", "FROM dt").replace("x.id < y.id GROUP", "x.id < y.id AND x.id // 1000 = y.id // 1000 GROUP") + """pc AS (SELECT a, b, k::DOUBLE / least(p.n, q.n) AS c FROM pr JOIN sz p ON p.id = a JOIN sz q ON q.id = b),
 tu AS (SELECT conv_id, turn, conv_id * 1000 + turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, (length(coalesce(text, '')) % 97)::DOUBLE AS score FROM dt), """
