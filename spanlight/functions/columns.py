@@ -109,6 +109,17 @@ def shingle_set(collapsed: Column, size: int = 5) -> Column:
     return F.when(F.length(collapsed) >= size, F.array_distinct(windows)).otherwise(few)
 
 
+def grams(text: Column, size: int = 3) -> Column:
+    """Distinct character windows; none for shorter texts. Cut from the array of characters, so in time linear in the text."""
+    chars = F.split(text, "")
+
+    def windows(c: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(c) - size), lambda i: F.concat(*[F.get(c, i + k) for k in range(size)])))
+
+    one = F.get(F.transform(F.array(chars), windows), F.lit(0))  # the characters are computed once
+    return F.when(F.length(text) >= size, one).otherwise(F.array().cast("array<string>"))
+
+
 def content_hash(text: Column, algorithm: str = "sha256") -> Column:
     """algorithm:hex of the text in UTF-8; null for null. blake2b, which Spark lacks, goes through Arrow."""
     if algorithm in ("sha256", "sha512"):

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from spanlight.functions import columns as C
 from spanlight.operators import store
+from spanlight.operators.index import small
 from spanlight.operators.retrieve import section_name
 
 
@@ -53,7 +54,8 @@ def trace_quotations(quotations: DataFrame, documents: DataFrame, limit: int = 2
     In order of document and place, the first `limit` of each quotation. Quotations are a stated
     query set: each is looked for in every document, with the document's text read once. To read
     only documents that can hold them, a quotation's longest whole word prunes by a hash join where the
-    quotation has one; quotations without are compared with all.
+    quotation has one, and its first three characters where it hasn't; only quotations of one or two
+    characters, which hardly any document lacks, are compared with all.
     """
     # A quotation may start and end within words, so only words inside it are whole words of a text.
     inside = F.regexp_extract_all("quotation", F.lit(r"(?<=[^\p{L}])(\p{L}{4,})(?=[^\p{L}])"), F.lit(1))
@@ -64,8 +66,15 @@ def trace_quotations(quotations: DataFrame, documents: DataFrame, limit: int = 2
     words = docs.select("document_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("word"))
     keyed = asked.where("word <> ''").join(words, "word").select("quotation_id", "quotation", "document_id")
     near = keyed.join(docs, "document_id")
-    rest = asked.where("word = ''").select("quotation_id", "quotation").join(docs, F.col("content").contains(F.col("quotation")))
-    met = near.unionByName(rest.select(near.columns)).where(F.col("content").contains(F.col("quotation")))
+    rest, met = asked.where("word = ''").select("quotation_id", "quotation"), near
+    if not rest.isEmpty():
+        keys = rest.where(F.length("quotation") >= 3).withColumn("gram", F.substring("quotation", 1, 3))
+        held = docs.select("document_id", F.explode(C.grams(F.col("content"))).alias("gram")).join(small(keys.select("gram").distinct()), "gram", "left_semi")
+        met = met.unionByName(keys.join(held, "gram").select("quotation_id", "quotation", "document_id").join(docs, "document_id").select(near.columns))
+        tiny = rest.where(F.length("quotation") < 3)
+        if not tiny.isEmpty():
+            met = met.unionByName(tiny.join(docs, F.col("content").contains(F.col("quotation"))).select(near.columns))
+    met = met.where(F.col("content").contains(F.col("quotation")))
     each = met.withColumn("start", F.explode(C.all_positions(F.col("content"), F.col("quotation"), limit)))
     w = W.partitionBy("quotation_id").orderBy("document_id", "start")
     best = each.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)

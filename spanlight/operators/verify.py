@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanlight.errors import AnswerError, ProtectedError
 from spanlight.functions import columns as C
+from spanlight.operators.index import small
 
 
 def parse_answer(payload: str) -> list[tuple[str, list[str]]]:
@@ -78,8 +79,15 @@ def located(quoted: DataFrame, items: DataFrame) -> DataFrame:
     held = items.select("package_id", "item_id", "document_id", "text", F.col("start").alias("item_start"), C.search_form(F.col("text")).alias("form"))
     words = held.select("package_id", "item_id", F.explode(F.array_distinct(F.split("form", " "))).alias("token"))
     near = asked.where("token is not null").join(words, ["package_id", "token"]).drop("token").join(held, ["package_id", "item_id"])
-    rest = asked.where("token is null").drop("token").join(held, "package_id")
-    met = near.unionByName(rest).where(F.contains(F.col("form"), F.col("q_form"))).drop("form", "q_form")
+    # Quotations without such a token are looked up by their first three characters, shorter ones among all items of their package.
+    rest = asked.where("token is null").drop("token")
+    met = near
+    if not rest.isEmpty():
+        keys = rest.where(F.length("q_form") >= 3).withColumn("gram", F.substring("q_form", 1, 3))
+        have = held.select("package_id", "item_id", F.explode(C.grams(F.col("form"))).alias("gram")).join(small(keys.select("package_id", "gram").distinct()), ["package_id", "gram"], "left_semi")
+        found = keys.join(have, ["package_id", "gram"]).drop("gram").join(held, ["package_id", "item_id"])
+        met = met.unionByName(found.select(near.columns)).unionByName(rest.where(F.length("q_form") < 3).join(held, "package_id").select(near.columns))
+    met = met.where(F.contains(F.col("form"), F.col("q_form"))).drop("form", "q_form")
     likely = met.withColumn("spans", C.quotation_spans(F.col("quotation"), F.col("text"))).where(F.size("spans") > 0)
     each = likely.select("*", F.explode("spans").alias("s"))
     return each.select("package_id", "claim_no", "quote_no", "item_id", "document_id", (F.col("item_start") + F.col("s.start")).alias("start"), (F.col("item_start") + F.col("s.end")).alias("end"))

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanlight.errors import AnswerError, ProtectedError, SettingsError
 from spanlight.operators import evaluate, ledger, verify
@@ -88,3 +89,15 @@ def test_providers_are_local():
     shown = r.protect("tent 310 and 310 and 42")
     assert shown == "tent [[1]] and [[1]] and [[2]]" and r.restore(shown) == "tent 310 and 310 and 42"
     assert json.dumps(shown)
+
+
+def test_quotations_without_an_inner_word_are_found_without_comparing_all(spark):
+    from spanlight.functions import columns as C
+    from spanlight.operators import anchors
+
+    docs = spark.createDataFrame([("a", "né ab cd. 日本語文 x", "p", None), ("b", "xabx, ab cd", "q", None), ("c", "", "r", None)], "document_id string, content string, source_path string, sections array<struct<heading:string,level:int,start:int,end:int>>")
+    asked = spark.createDataFrame([("1", "ab cd"), ("2", "本語文"), ("3", "x"), ("4", "zzz"), ("5", "")], "quotation_id string, quotation string")
+    got = {(r.quotation_id, r.document_id, r.start) for r in anchors.trace_quotations(asked, docs).collect()}
+    assert got == {("1", "a", 3), ("1", "b", 6), ("2", "a", 11), ("3", "a", 15), ("3", "b", 0), ("3", "b", 3)}
+    rows = spark.createDataFrame([("abcab",), ("é🙂x",), ("ab",), ("",)], "t string").select("t", C.grams(F.col("t")).alias("g")).collect()
+    assert {r.t: r.g for r in rows} == {"abcab": ["abc", "bca", "cab"], "é🙂x": ["é🙂x"], "ab": [], "": []}
