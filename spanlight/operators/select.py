@@ -27,14 +27,28 @@ CHANGED_DOCUMENT = "the document was revised after it was indexed"
 # --- columns ---
 
 
+#: What (2k + 1) / 200 is with two digits, for each k: a tie in decimals that the binary number breaks either way.
+_TIES = [round(float(f"{(2 * k + 1) / 200:.2f}") * 100) for k in range(100)]
+
+
+def two_digits(part: Column, whole: Column) -> Column:
+    """part / whole (0 to 1) with two digits, rounded as the binary number is; Spark's format_string rounds its decimal form half up."""
+    m, n = part.cast("bigint"), whole.cast("bigint")
+    k = F.floor(m * 100 / n)
+    k = F.when(m * 100 < n * k, k - 1).when(m * 100 >= n * (k + 1), k + 1).otherwise(k).cast("int")
+    over = m * 200 - n * (2 * k + 1)
+    cents = F.when(over > 0, k + 1).when(over < 0, k).otherwise(F.get(F.array(*map(F.lit, _TIES)), F.least(k, F.lit(99))))
+    return F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
 def signals(section: Column, unconfirmed: Column, matched: Column, query: Column) -> Column:
-    share = F.least(matched.cast("double") / F.length(query), F.lit(1.0))
+    share = two_digits(F.least(matched, F.length(query)), F.length(query))
     return F.array_compact(
         F.array(
             F.lit("lexical_match"),
             F.when(section != "", "heading_match"),
             F.when(~unconfirmed, "confirmed_in_text"),
-            F.when(~unconfirmed & (matched > 0) & (query != ""), F.concat(F.lit("confirmed_share:"), F.format_string("%.2f", share))),
+            F.when(~unconfirmed & (matched > 0) & (query != ""), F.concat(F.lit("confirmed_share:"), share)),
         )
     )
 

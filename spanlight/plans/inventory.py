@@ -12,7 +12,7 @@ from spanlight.functions import columns as C
 from spanlight.functions import text as X
 from spanlight.operators import evaluate, index, ledger, redundancy, select, store, verify
 from spanlight.plans import evaluation
-from spanlight.plans.catalogue import _BM25, _FLAT, _INCOMING, ORACLE, _corpus, _incoming, _index, _ledger, _path, _query, _questions, _table, _top
+from spanlight.plans.catalogue import _BM25, _FACTS, _FLAT, _INCOMING, ORACLE, _corpus, _facts, _held_items, _incoming, _index, _ledger, _path, _query, _questions, _table, _top
 from spanlight.sources import folder
 
 # --- sources ---
@@ -192,6 +192,37 @@ def answer_summary(spark, sf_dir):
     return out.select("cases", "readable", "grounded", "on_target", "captured", "abstained", F.round("abstained_rate", 9).alias("abstained_rate"))
 
 
+@_query("""x AS (SELECT item_id::INT AS claim_no, EXISTS (SELECT 1 FROM corpus c WHERE contains(trim(regexp_replace(c.folded, '\\s+', ' ', 'g')), trim(regexp_replace(replace(lower(b.text), 'ß', 'ss'), '\\s+', ' ', 'g')))) AS found FROM benchmark b WHERE text <> '')
+SELECT claim_no, CASE WHEN found THEN 'supported' ELSE 'unsupported' END AS support FROM x""")
+def verify_restored(spark, sf_dir):
+    """Quotations of a reversibly redacted package, restored before they are looked for."""
+    b = _table(spark, sf_dir, "benchmark").where("text <> ''")
+    claims = b.select(F.lit("p").alias("package_id"), F.col("item_id").cast("int").alias("claim_no"), F.lit("claim").alias("text"), F.array(F.concat(F.lit("[["), "text", F.lit("]]"))).alias("citations"))
+    shields = spark.createDataFrame([("p", True)], "package_id string, reversible boolean")
+    classes, _ = verify.verify(claims, _held_items(spark, sf_dir), shields, lambda t: t.replace("[[", "").replace("]]", ""))
+    return classes.select("claim_no", "support")
+
+
+@_query(_FACTS + """f AS (SELECT ph.*, b.text FROM ph JOIN benchmark b USING (item_id)), h AS (SELECT source AS case_id, left(content, length(content) // 2) AS t FROM corpus)
+SELECT case_id, count(*) AS facts, count(*) FILTER (EXISTS (SELECT 1 FROM h WHERE h.case_id = f.case_id AND contains(h.t, f.text))) AS covered FROM f GROUP BY case_id""")
+def eval_covered_text(spark, sf_dir):
+    """Facts found by their text in items of other documents: the first halves of a source's documents, under other names."""
+    b = _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("said"))
+    facts = _facts(spark, sf_dir).withColumn("item", F.substring_index("fact_id", ":", 1)).join(b, "item").withColumn("text", F.col("said"))
+    items = _corpus(spark, sf_dir).select(F.substring_index("source_path", "/", 1).alias("case_id"), F.lit("elsewhere").alias("source_path"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.expr("left(content, CAST(floor(length(content) / 2) AS INT))").alias("text"))
+    hit = evaluate.covered(items, facts).withColumn("hit", F.lit(1))
+    return facts.join(hit, ["case_id", "fact_id"], "left").groupBy("case_id").agg(F.count("*").alias("facts"), F.count("hit").alias("covered"))
+
+
+@_query("""x AS (SELECT query_id, i::INT AS i, length(query) AS n FROM asked, generate_series(1, 400) t(i))
+SELECT query_id, i, printf('%.2f', least(i::DOUBLE / n, 1e0)) AS share FROM x WHERE n > 0""")
+def signal_shares(spark, sf_dir):
+    """Shares of questions with two digits."""
+    q = _questions(spark, sf_dir).where("query <> ''").select("query_id", "query", F.explode(F.sequence(F.lit(1), F.lit(400))).alias("i"))
+    made = F.element_at(select.signals(F.lit(""), F.lit(False), F.col("i"), F.col("query")), -1)
+    return q.select("query_id", "i", F.substring_index(made, ":", -1).alias("share"))
+
+
 # --- greedy orders ---
 
 

@@ -159,3 +159,10 @@ def test_provenance_and_unknown_layers(spark):
     assert got[1]["layer"] == "fact" and got[2]["producer"] == "p"
     with pytest.raises(Exception, match="unknown layer"):
         spark.createDataFrame([({"layer": "guess"},)], "m map<string,string>").select(select.provenance(F.col("m"))).collect()
+
+
+def test_two_digits_are_rounded_as_python_does(spark):
+    rows = [(m, n) for n in [*range(1, 120), 125, 160, 200, 400, 1000, 8000] for m in ({*range(0, n + 1, max(1, n // 200)), n})]
+    df = spark.createDataFrame(rows, "m int, n int")
+    for r in df.select("m", "n", select.two_digits(F.col("m"), F.col("n")).alias("x")).collect():
+        assert r.x == f"{r.m / r.n:.2f}", (r.m, r.n)
