@@ -305,7 +305,10 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str =
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = BYTE_BPE) -> DataFrame:
-    """(id_col, n_tokens, ids_sha256, decoded_sha256) of each whole text, encoded and decoded again in one pass."""
+    """(id_col, n_tokens, ids_sha256, decoded_sha256) of each whole text, encoded and decoded again in one pass; one row for each row.
+
+    Null texts count as empty; null and repeated ids stay as they are, extra columns are ignored.
+    """
     schema = f"`{id_col}` bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

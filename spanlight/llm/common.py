@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="spanlight-")
+    own = tempfile.mkdtemp(prefix="spanlight-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    path = "file://" + own
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 

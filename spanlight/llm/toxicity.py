@@ -162,7 +162,11 @@ def calibrated(distances: list[tuple[int, int]]) -> float:
 
 
 def train(toxic: list[list[bytes]], ordinary: list[list[bytes]], texts: Callable[[list[bytes]], str] = lambda d: b" ".join(d).decode("utf-8", "replace")) -> Model:
-    """Dictionaries from the windows of four fifths of the documents, the threshold from the others."""
+    """Dictionaries from the windows of four fifths of the documents, the threshold from the others.
+
+    Copies count once in the dictionaries. Without documents of a label its own part is empty and
+    the threshold the default one, so that nothing is told apart.
+    """
     learnt, rest = ([[d for i, d in enumerate(x) if (i % 5 == 4) == last] for x in (toxic, ordinary)] for last in (False, True))
     model = Model(*_dictionaries(*learnt))
     scorer = Scorer(model)
