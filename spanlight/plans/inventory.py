@@ -100,6 +100,27 @@ def fold_origins(spark, sf_dir):
     return _corpus(spark, sf_dir).withColumn("f", run("content")).select("document_id", "f.*")
 
 
+#: Latin letters and what stands for them, so that texts run through ideographs, Katakana, Hiragana and Hangul.
+_LETTERS, _SCRIPTS = "enrithsa", "日本カタひら한글"
+_TERMS_OF = r"""rn AS (SELECT id, unnest(regexp_extract_all(translate(fold, '{a}', '{b}'), '[日本]+|[カタ]+|[ひら]+|[한글]+|[^ \t\n\r\x{{3000}}日本カタひら한글]+')) AS run FROM src),
+tm AS (SELECT id, run, CASE WHEN length(run) > 1 AND regexp_matches(run, '^[日本カタ]') THEN list_transform(generate_series(1, length(run) - 1), lambda i: substr(run, i, 2)) ELSE [run] END AS l FROM rn), """.format(a=_LETTERS, b=_SCRIPTS)
+
+
+@_query("src AS (SELECT document_id AS id, folded AS fold FROM corpus), " + _TERMS_OF + "x AS (SELECT unnest(l) AS term FROM tm) SELECT term, count(*) AS n FROM x GROUP BY term")
+def script_terms(spark, sf_dir):
+    """Index terms over four scripts: bigrams of ideographs and Katakana, other runs whole."""
+    folded = _corpus(spark, sf_dir).select(F.translate(C.fold(F.col("content")), _LETTERS, _SCRIPTS).alias("t"))
+    return folded.select(F.explode(C.index_terms(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@_query("src AS (SELECT query_id AS id, fold FROM asked), " + _TERMS_OF + """al AS (SELECT id, unnest(l) AS term FROM tm UNION ALL SELECT id, left(run, k) FROM tm, generate_series(2, 64) g(k) WHERE regexp_matches(run, '^[한글]') AND k < length(run))
+SELECT id AS query_id, term, count(*) AS n FROM al GROUP BY id, term""")
+def script_query_terms(spark, sf_dir):
+    """Terms of questions over four scripts, with the prefixes that Hangul terms get."""
+    asked = _questions(spark, sf_dir).select("query_id", F.translate(C.fold(F.col("query")), _LETTERS, _SCRIPTS).alias("q"))
+    return asked.select("query_id", F.explode(C.query_terms(F.col("q"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("n"))
+
+
 # --- store, index, ledger ---
 
 
