@@ -41,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
     verb("verify", (("package",), {}), (("answer",), {}))
     verb("ask", (("query",), {}), (("--model",), {"required": True}), (("--url",), {"default": "http://localhost:11434"}), (("--budget",), {}))
     verb("forget", (("paths",), {"nargs": "+"}))
-    verb("ledger", (("--since",), {}), (("--forget",), {"action": "store_true", "help": "delete the whole ledger"}))
+    verb("ledger", (("--since",), {}), (("--forget",), {"action": "store_true", "help": "empty the ledger"}))
     verb("errors")
     verb("indexes")
     verb("eval", (("cases",), {}), (("--tier",), {}), (("--split",), {}))

@@ -109,7 +109,7 @@ def answer_outcomes(answers: DataFrame, claims: DataFrame, locations: DataFrame,
     answers has case_id and readable; claims case_id, claim_no, citations and support; locations
     case_id, source_path, start and end of each quotation found; facts case_id, fact_id, document,
     start, end, must_include and trap_kind (null for facts that are no trap). A quotation is of every
-    fact of its document that it overlaps, for a part of a fact is that fact. Out come claims, grounded
+    fact of its document that it overlaps, if only in part. Out come claims, grounded
     (some claim, and all supported), on_target (a required fact cited), abstained (claims, and none
     cites), captured (an adversary cited and no required fact), disagreeing (both), and the sorted
     fact_ids answers, adversaries, copies.

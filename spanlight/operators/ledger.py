@@ -55,7 +55,7 @@ def usage(entries: DataFrame, items: DataFrame, omissions: DataFrame, since: str
 
 
 def forgotten(tables: tuple[DataFrame, DataFrame, DataFrame], packages: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entries, items, omissions) without packages(package_id), or empty without that: history goes and nothing else."""
+    """(entries, items, omissions) without packages(package_id), or empty if none are named."""
     if packages is None:
         return tuple(t.limit(0) for t in tables)  # type: ignore[return-value]
     gone = packages.select("package_id").distinct()

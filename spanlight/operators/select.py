@@ -223,16 +223,25 @@ def fitted(candidates: DataFrame, budget: Budget, ordering: str | Ordering = "sc
 
 
 def filled(ordered: DataFrame, limit: int) -> DataFrame:
-    """ordered(query_id, place, cost, …) with sent: the greedy fill alone, as a fold in the JVM over each question's candidates."""
-    each = ordered.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "cost"))).alias("c"))
+    """ordered(query_id, place, cost, …) with sent: the greedy fill alone.
+
+    What was spent only grows, so of the rows of one cost those that are sent come first, and no more
+    than limit / cost of them: only these are brought together, some limit x ln(limit) a question
+    however many rows it has, and folded in the JVM. Rows without cost always fit.
+    """
+    fits = ordered.where((F.col("cost") > 0) & (F.col("cost") <= limit)).select("query_id", "place", "cost")
+    nth = F.row_number().over(W.partitionBy("query_id", "cost").orderBy("place"))
+    few = fits.withColumn("nth", nth).where(F.col("nth") * F.col("cost").cast("bigint") <= limit)
+    each = few.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "cost"))).alias("c"))
     start = F.struct(F.lit(0).cast("bigint").alias("spent"), F.array().cast("array<int>").alias("sent"))
 
     def step(acc: Column, x: Column) -> Column:
         room = acc["spent"] + x["cost"] <= limit
         return F.when(room, F.struct((acc["spent"] + x["cost"]).alias("spent"), F.concat(acc["sent"], F.array(x["place"])).alias("sent"))).otherwise(acc)
 
-    sent = each.select("query_id", F.aggregate("c", start, step, lambda a: a["sent"]).alias("places"))
-    return ordered.join(sent, "query_id").withColumn("sent", F.array_contains("places", F.col("place"))).drop("places")
+    sent = each.select("query_id", F.explode(F.aggregate("c", start, step, lambda a: a["sent"])).alias("place"), F.lit(True).alias("__sent"))
+    out = ordered.join(sent, ["query_id", "place"], "left")
+    return out.select(*ordered.columns, F.coalesce("__sent", F.col("cost") <= 0, F.lit(False)).alias("sent"))
 
 
 # --- leads ---

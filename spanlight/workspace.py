@@ -130,7 +130,7 @@ class Workspace:
         return ledger.usage(*parts, since).first().asDict()
 
     def forget_ledger(self) -> int:
-        """Deletes the whole ledger; returns how many packages it had. Costs history and nothing else."""
+        """Empties the ledger; returns how many packages it had. Store and index stay."""
         try:
             n = self.spark.read.parquet(f"{self.ledger_path}/entries").select("package_id").distinct().count()
         except Exception as e:  # nothing was opened here
