@@ -53,6 +53,7 @@ def confirm(candidates: DataFrame, documents: DataFrame, queries: DataFrame, set
     Contents are joined only here, to at most the candidate cap of rows for each question; other
     documents' go no further than the scan as long as that many ids can be sent to every task.
     """
+    candidates = candidates.persist()  # read twice; the cap bounds it
     wanted = small(candidates.select("document_id").distinct(), queries.count() * candidate_limit)
     documents = documents.join(wanted, "document_id", "left_semi")
     cols = ["source_path", "content", "sections"]
