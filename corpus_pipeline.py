@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlight.llm import language_id, packing, pii, simhash, toxicity
-from spanlight.llm.common import all_of, materialize, table, unused
+from spanlight.llm.common import BROADCAST_ROWS, all_of, materialize, table, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,15 +25,21 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where(F.col(name) < 0.5).select(all_of(out, docs.columns))
 
 
+def _ids(found: DataFrame, tag: str) -> DataFrame:
+    """The ids written, for a join: they are broadcast at most if they are few, whatever their files' size."""
+    ids = materialize(found, tag)
+    return ids if ids.count() <= BROADCAST_ROWS else ids.hint("merge")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of every near-duplicate group.
 
     Rows repeated with id and text count once; documents without an id can't be named, and stay.
     """
     found = materialize(simhash.near_duplicates(docs), "copies")
-    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")  # a small table is known to be one
+    gone = _ids(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")  # a small table is known to be one
     kept = docs.join(gone, "doc_id", "left_anti")
-    again = materialize(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    again = _ids(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if again.isEmpty():
         return kept.select(all_of(kept, docs.columns))
     once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
+#: Rows of a join's side that may go to the driver and every task. Spark itself decides by the bytes of
+#: compressed files, and takes what explode() makes of a table for as small as the table.
+BROADCAST_ROWS = 200_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -116,11 +116,12 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, hot_postings: int = HOT
     dealt = materialize(distinct.select("fp").repartition(tasks, "fp"), "distinct")  # few bytes, but 70 rows come of each
     posts = _postings(dealt)
     sizes = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    lists = materialize(posts.join(sizes, "key"), "postings")
+    # merge: Spark takes posts for as small as distinct, from which 70 times the rows come, and would broadcast them
+    lists = materialize(posts.join(sizes.hint("merge"), "key"), "postings")
     cold = lists.where(F.col("n") <= hot_postings)
     a, b = cold.select("key", F.col("fp").alias("a")), cold.select("key", F.col("fp").alias("b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.bit_count(x) <= max_bits) & _first_four(x, F.shiftrightunsigned("key", 32).cast("int")))
+    pairs = a.join(b.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.bit_count(x) <= max_bits) & _first_four(x, F.shiftrightunsigned("key", 32).cast("int")))
     out = pairs.select("a", "b")
     hot = lists.where(F.col("n") > hot_postings)
     if hot.isEmpty():

@@ -84,6 +84,28 @@ def test_stages_take_empty_tables(spark, folder):
         assert stage(spark, docs, d).count() == 0
 
 
+def test_near_copies_broadcast_no_postings(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.greatest(F.col("id"), F.lit(10))).alias("text"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "16m")  # more than any side of a join here but the postings, 70 to a text
+    try:
+        assert {r.doc_id for r in P.near_copies(spark, docs, "").collect()} == {0, *range(11, 20_000)}
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_near_copies_by_shuffled_ids(spark, monkeypatch):
+    rows = [(i, f"w{i // 3}") for i in range(60)] + [(0, "w0"), (0, "w0"), (3, "w1"), (None, "w2"), (None, "w2"), (500, None), (501, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def kept():
+        out = P.near_copies(spark, docs, "")
+        return sorted(map(str, out.collect())), "Broadcast" in out._jdf.queryExecution().executedPlan().toString()
+
+    few, sent = kept()
+    monkeypatch.setattr(P, "BROADCAST_ROWS", 0, raising=False)
+    assert sent and kept() == (few, False) and len(few) == 20 + 2 + 1
+
+
 def test_registered_queries(spark, folder):
     d, rows = folder
     n = {re_: fn(spark, d).count() for re_, fn in registry.QUERIES.items()}
