@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spanlight.llm.common import discard, materialize
+from spanlight.llm.common import BROADCAST_ROWS, discard, materialize
 
 
 #: Parts of a vertex's neighbours, reduced apart and then together.
@@ -17,8 +17,8 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """(a, b, m): the edges and the least neighbour m of a.
+def _with_least(edges: DataFrame, few: bool) -> DataFrame:
+    """(a, b, m): the edges and the least neighbour m of a. few: the edges may be broadcast.
 
     A vertex's neighbours are dealt into SALTS parts by their hash. Each part has its own minimum,
     the minima of a vertex meet in a window of SALTS rows at most, and go back to the parts; so no
@@ -27,7 +27,7 @@ def _with_least(edges: DataFrame) -> DataFrame:
     dealt = edges.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("part"))
     least = dealt.groupBy("a", "part").agg(F.min("b").alias("m"))
     least = least.select("a", "part", F.min("m").over(W.partitionBy("a")).alias("m"))
-    return dealt.join(least, ["a", "part"]).select("a", "b", "m")
+    return dealt.join(least if few else least.hint("merge"), ["a", "part"]).select("a", "b", "m")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -47,9 +47,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
+        few = 2 * seen[0] <= BROADCAST_ROWS
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        small = _with_least(large).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        large = _with_least(both, few).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        small = _with_least(large, few).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         then = materialize(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
         discard(now)
         now, before = then, seen

@@ -146,11 +146,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = each.groupBy("fp").agg(F.min(id_col).alias("least")).select("fp", F.coalesce(F.col("least").cast(_VERTEX), unnamed.cast(_VERTEX)).alias("v"))
     nodes = materialize(nodes, "vertices")
     found = links(nodes, max_bits, hot_postings)
-    edges = found.join(nodes.select(F.col("fp").alias("a"), F.col("v").alias("va")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("v").alias("vb")), "b")
+    # merge: any side may hold a row for every text, and compressed files don't tell how large it gets in memory
+    edges = found.join(nodes.select(F.col("fp").alias("a"), F.col("v").alias("va")).hint("merge"), "a").join(nodes.select(F.col("fp").alias("b"), F.col("v").alias("vb")).hint("merge"), "b")
     comp = connected_components(edges.select(F.col("va").alias("a"), F.col("vb").alias("b")))
-    of = nodes.join(comp, nodes.v == comp.id, "left").select("fp", F.coalesce("component", "v").alias("component"))
+    of = nodes.join(comp.hint("merge"), nodes.v == comp.id, "left").select("fp", F.coalesce("component", "v").alias("component"))
     of = of.select("fp", F.when(F.col("component") < F.lit(_ID_END).cast(_VERTEX), F.col("component")).cast("bigint").alias("component_id"))
-    return each.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return each.join(of.hint("merge"), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from spanlight.llm import components
 from spanlight.llm import simhash as S
 from spanlight.llm.components import connected_components
 
@@ -80,3 +81,26 @@ def test_near_duplicates(spark):
     assert S.near_duplicates(df.limit(0)).count() == 0
     assert {r.fingerprint for r in got if r.doc_id == 5} == {f"{S.fingerprint(text):016x}"}
     assert got[0].asDict().keys() == {"doc_id", "fingerprint", "component_id"} and F
+
+
+def test_many_rows_are_not_broadcast(spark, monkeypatch):
+    """No side of a join that grows with the texts goes to the driver, however small its files are."""
+    plans = []
+
+    def recorded(df, tag, write=S.materialize):
+        plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, tag)
+
+    monkeypatch.setattr(S, "materialize", recorded)
+    monkeypatch.setattr(components, "materialize", recorded)
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 0, raising=False)
+    random.seed(3)
+    words = [f"w{i}" for i in range(400)]
+    base = [" ".join(random.choices(words, k=300)) for _ in range(8)]
+    rows = [(10 * i + k, t + f" x{k}" * (k > 0)) for i, t in enumerate(base) for k in range(4)]
+    out = S.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    plans.append(("result", out._jdf.queryExecution().executedPlan().toString()))
+    fps = {i: S.fingerprint(t) for i, t in rows}
+    linked = roots([(i, j) for i in fps for j in fps if (fps[i] ^ fps[j]).bit_count() <= S.MAX_BITS])
+    assert {r.doc_id: r.component_id for r in out.collect()} == linked and len(set(linked.values())) < len(rows)
+    assert {"postings", "edges", "result"} <= {tag for tag, _ in plans} and not {tag for tag, p in plans if "Broadcast" in p}
