@@ -137,3 +137,20 @@ def test_gone_version_reads_the_current_one(spark):
     new = corpus(spark, {"en.md": "Now the tent weighs more."})
     results, _ = retrieve.search(spark.createDataFrame([("q", "tent weighs")], "query_id string, query string"), new, idx)
     assert [r.version for r in results.collect()] == [new.first().version]
+
+
+def test_sections_are_scored_where_they_are(spark):
+    """Against postings: all the best of each question, ties and phrases too, and nothing shuffled for each occurrence of a word."""
+    random.seed(11)
+    words = "tent stove rain fuel a.b old map".split()
+    notes = {f"n{i:03d}.md": " ".join(random.choices(words, k=random.randint(1, 6))) for i in range(400)}
+    docs = corpus(spark, notes).repartition(5)
+    asked = spark.createDataFrame([(1, "tent"), (2, "a.b rain tent"), (3, "map.map old"), (4, "?"), (None, "tent")], "query_id int, query string")
+    idx = I.Index.built(I.sections_of(docs))
+    plain = I.Index(idx.postings, idx.lengths)
+    order = ["document_id", "start"]
+    for digits in (None, 9):
+        got, want = (x if digits is None else x.withColumn("score", F.round("score", digits)) for x in (idx.scored(asked, 7), plain.scored(asked, 7)))
+        got, want = (sorted(map(tuple, I.top_candidates(x, order, 7).collect())) for x in (got, want))
+        assert got == want and len(got) >= 14
+    assert idx.scored(asked, 7).count() < 5 * 3 * 4 * 7 < plain.scored(asked, 7).count()
