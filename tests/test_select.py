@@ -166,3 +166,17 @@ def test_two_digits_are_rounded_as_python_does(spark):
     df = spark.createDataFrame(rows, "m int, n int")
     for r in df.select("m", "n", select.two_digits(F.col("m"), F.col("n")).alias("x")).collect():
         assert r.x == f"{r.m / r.n:.2f}", (r.m, r.n)
+
+
+def test_similar_classes_in_tiles_and_without_broadcasts(spark, monkeypatch):
+    """Every pair of blocks is compared, and no side that grows with the texts is sent to every task."""
+    random.seed(8)
+    base = ["".join(random.choice("abcdefg hij") for _ in range(80)) for _ in range(12)]
+    texts = [b[:k] + random.choice("xyz") * (80 - k) for b in base for k in (40, 66, 72, 80)] + ["", "ab", base[0]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    monkeypatch.setattr(redundancy, "BLOCK", 400)
+    members, pairs = redundancy.similar_classes(rows, "i", "t")
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString() + members._jdf.queryExecution().executedPlan().toString()
+    sets = [T.shingles(t) for t in texts[:-1]]
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if T.similarity(sets[a], sets[b])[0] >= 0.75}
+    assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) > 10
