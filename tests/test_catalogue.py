@@ -61,3 +61,23 @@ def test_query_equals_its_sql(spark, tables, name):
 def test_other_queries_run(spark, tables, name):
     assert catalogue.QUERIES[name](spark, tables[0]).collect() is not None
     spark.catalog.clearCache()
+
+
+@pytest.mark.parametrize("name", ["coverage_confirm", "relative_floor", "context_packages"])
+def test_questions_are_whole_passages(spark, tables, tmp_path, name):
+    """A word far behind a passage's beginning, and more words than 64, change what is found."""
+    (tmp_path / "d").mkdir()
+    for t in ("documents", "labels", "conversations"):
+        (tmp_path / "d" / f"{t}.parquet").symlink_to(f"{tables[0]}/{t}.parquet")
+    far = " ".join(f"z{i}" for i in range(70)) + " old-new a.b and or stove weighs"
+    spark.createDataFrame([(0, far), (1, "the tent"), (2, None)], "item_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/d/benchmark.parquet")
+    got = catalogue.QUERIES[name](spark, f"{tmp_path}/d")
+    rows = [r for r in got.collect() if r.query_id == "0"]
+    assert rows and (name != "context_packages" or rows[0]["items"] + rows[0]["omissions"] > 0)
+    if name in catalogue.ORACLE:
+        con = duckdb.connect()
+        for t in ("documents", "labels", "conversations", "benchmark"):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/d/{t}.parquet/*.parquet'")
+        want = con.sql(catalogue.ORACLE[name])
+        assert normal(got.collect(), got.columns) == normal(want.fetchall(), want.columns)
+    spark.catalog.clearCache()
