@@ -154,3 +154,11 @@ def test_sections_are_scored_where_they_are(spark):
         got, want = (sorted(map(tuple, I.top_candidates(x, order, 7).collect())) for x in (got, want))
         assert got == want and len(got) >= 14
     assert idx.scored(asked, 7).count() < 5 * 3 * 4 * 7 < plain.scored(asked, 7).count()
+
+
+def test_term_totals_are_added_up_in_each_part(spark):
+    docs = corpus(spark)
+    idx = I.Index.built(I.sections_of(docs))
+    got = idx.term_totals()
+    assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, I.Index(idx.postings, idx.lengths).term_totals().collect()))
