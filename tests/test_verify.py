@@ -1,9 +1,12 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanlight.errors import AnswerError, ProtectedError, SettingsError
+from spanlight.functions import columns as C
+from spanlight.functions import text as T
 from spanlight.operators import evaluate, ledger, verify
 from spanlight import providers
 
@@ -101,3 +104,28 @@ def test_quotations_without_an_inner_word_are_found_without_comparing_all(spark)
     assert got == {("1", "a", 3), ("1", "b", 6), ("2", "a", 11), ("3", "a", 15), ("3", "b", 0), ("3", "b", 3)}
     rows = spark.createDataFrame([("abcab",), ("é🙂x",), ("ab",), ("",)], "t string").select("t", C.grams(F.col("t")).alias("g")).collect()
     assert {r.t: r.g for r in rows} == {"abcab": ["abc", "bca", "cab"], "é🙂x": ["é🙂x"], "ab": [], "": []}
+
+
+def test_search_form_without_offsets(spark):
+    random.seed(4)
+    pool = "aZß ﬁテｶ漢́¨\u0085\u001c　\n\t éİ½𝐀"
+    texts = ["".join(random.choices(pool, k=random.randint(0, 9))) for _ in range(700)] + [None]
+    want = [None if t is None else T.search_form(t)[0] for t in texts]
+    assert [None if t is None else T.search_text(t) for t in texts] == want
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", C.search_form(F.col("t")).alias("f"))
+    assert [r.f for r in rows.orderBy("i").collect()] == want
+
+
+def test_covered_compares_a_text_once_for_each_item(spark):
+    random.seed(6)
+    paths = ["a.txt", "x/a.txt", "y/x/a.txt", "b.txt", "xa.txt", "x/"]
+    facts = [(random.choice("pq"), i, random.choice(["a.txt", "x/a.txt", "b.txt", "", "/a.txt"]), random.randint(0, 5), random.randint(5, 9), random.choice(["one", "two", "three", "\0"])) for i in range(60)]
+    items = [(random.choice("pq"), random.choice(paths), random.randint(0, 5), random.randint(4, 9), random.choice(["", "one", "has two in it"])) for _ in range(12)]
+    f = spark.createDataFrame(facts, "case_id string, fact_id int, document string, start int, end int, text string")
+    i = spark.createDataFrame(items, "case_id string, source_path string, start int, end int, text string")
+    got = evaluate.covered(i, f)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "endswith" not in plan
+    same = lambda p, k: p == k or p.endswith("/" + k)
+    want = {(c, n) for c, n, d, s, e, t in facts for ic, p, a, b, it in items if c == ic and (t in it or same(p, d) and a <= s and e <= b)}
+    assert sorted(map(tuple, got.collect())) == sorted(want) and 0 < len(want) < 60
