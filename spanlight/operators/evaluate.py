@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlight.errors import UsageError
+from spanlight.operators.index import small
 
 FLOORS = {"evidence_recall": 0.95, "trap_rate": 0.20, "omission_correctness": 0.70}
 
@@ -20,9 +21,16 @@ def covered(items: DataFrame, facts: DataFrame) -> DataFrame:
 
     items: case_id, source_path, start, end, text; facts: case_id, fact_id, document, start, end, text.
     """
-    i = items.select("case_id", "source_path", F.col("start").alias("i_start"), F.col("end").alias("i_end"), F.col("text").alias("i_text"))
-    inside = same_document(F.col("source_path"), F.col("document")) & (F.col("i_start") <= F.col("start")) & (F.col("end") <= F.col("i_end"))
-    return facts.join(i, "case_id").where(F.contains(F.col("i_text"), F.col("text")) | inside).select("case_id", "fact_id").distinct()
+    # An item's text is compared with each text of its case once, however many facts have it.
+    asked = facts.select("case_id", "text").distinct()
+    said = items.select("case_id", F.col("text").alias("i_text")).join(small(asked), "case_id").where(F.contains(F.col("i_text"), F.col("text"))).select("case_id", "text").distinct()
+    by_text = facts.join(said, ["case_id", "text"], "left_semi").select("case_id", "fact_id")
+    # same_document() as an equation: a document is its path, or what follows a slash in it.
+    parts = F.split("source_path", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    i = items.select("case_id", F.col("start").alias("i_start"), F.col("end").alias("i_end"), F.explode(F.array_distinct(ends)).alias("document"))
+    inside = facts.join(i, ["case_id", "document"]).where((F.col("i_start") <= F.col("start")) & (F.col("end") <= F.col("i_end"))).select("case_id", "fact_id")
+    return by_text.unionByName(inside).distinct()
 
 
 def relevant_items(items: DataFrame, facts: DataFrame) -> DataFrame:
