@@ -137,7 +137,7 @@ def parsed(files: DataFrame) -> DataFrame:
     schema = f"source_path string, media_type string, content string, sections array<{SECTION}>, blocks array<{BLOCK}>, metadata map<string,string>, failure string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (b.iloc[at : at + C.ROWS] for b in batches for at in range(0, len(b), C.ROWS)):  # blocks take more room than texts
             rows = []
             for path, raw in zip(pdf["source_path"], pdf["bytes"]):
                 name = path.rsplit("/", 1)[-1]
